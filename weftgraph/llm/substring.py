@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import flat_map_rows, map_rows, materialize, words
+from weftgraph.llm.common import SLICE_ROWS, map_rows, words
 
 
 @dataclass(frozen=True)
@@ -94,7 +94,7 @@ def cells(anchors: np.ndarray, n_cells: int) -> list[np.ndarray]:
 
 
 def n_cells_for(docs: DataFrame, p: SubstringParameters) -> int:
-    """A power of two of about eight cells an anchor, from the bytes of all texts (some 6 a word, an anchor in 14 words)."""
+    """A power of two of at least eight cells an anchor, from the bytes of all texts (some 6 a word, an anchor in 14 words)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(p.most_cells, max(1 << 16, 1 << int(total // 10).bit_length()))
 
@@ -143,44 +143,77 @@ def marked(bits: list[np.ndarray], where: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def row_key() -> list[Column]:
-    return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """row_key and text: the id where ids are whole and unique, else a hash of id and text (equal rows share it)."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    return docs.select((F.xxhash64("doc_id", "text") if odd else F.col("doc_id")).alias("row_key"), "doc_id", "text")
 
 
-def repeated_windows(docs: DataFrame, p: SubstringParameters) -> DataFrame:
-    """doc_id, text_key, starts: the sorted start positions of windows that start elsewhere too, as 32-bit integers."""
-    n_cells = n_cells_for(docs, p)
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, n_cells, p))
+#: Candidate windows that a task holds before it looks for repeats among them.
+CHUNK = 1_000_000
 
-    def make():
-        bits = shared.value
 
-        def candidates(doc_id, key, text):
-            w = words(text)
-            if len(w) < p.window:
-                return ()
-            h = word_hashes(w)
-            at = np.flatnonzero(marked(bits, cells(anchor_of_windows(h[:, 0], p), n_cells)))
-            if not len(at):
-                return ()
-            a, b = rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at]
-            return zip([doc_id] * len(at), [key] * len(at), at.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)
+def settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Marks windows that repeat inside a chunk as known; all but one of a group get a key of their own.
+
+    So a task sends a window's sequence once however often it holds it, and no key gathers more rows than there are chunks.
+    """
+    order = np.lexsort((h2, h1))
+    h1, h2, key, at = h1[order], h2[order], key[order], at[order]
+    same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+    later = np.concatenate([[False], same])
+    known = later | np.concatenate([same, [False]])
+    own = mix(key.astype(np.uint64) * P1 + at.astype(np.uint64))
+    return np.where(later, own, h1), np.where(later, mix(own), h2), key, at, known
+
+
+def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
+    """row_key, starts: the start positions of windows that start elsewhere too."""
+    n_cells = n_cells_for(rows, p)
+    shared = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, n_cells, p))
+    arrow = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("row_key", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, size = shared.value, [], 0
+
+        def flush():
+            h1, h2, key, at, known = settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key), pa.array(at), pa.array(known)]
+            whole = pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for start in range(0, len(at), 65536):
+                yield whole.slice(start, 65536)
 
-        return candidates
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    w = words(text)
+                    if len(w) < p.window:
+                        continue
+                    h = word_hashes(w)
+                    at = np.flatnonzero(marked(bits, cells(anchor_of_windows(h[:, 0], p), n_cells)))
+                    if len(at):
+                        held.append((rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at], np.full(len(at), key), at.astype(np.int32)))
+                        size += len(at)
+                        if size >= CHUNK:
+                            yield from flush()
+                            held, size = [], 0
+        if held:
+            yield from flush()
 
-    found = flat_map_rows(docs.select(*row_key(), "text"), make, "doc_id long, text_key long, at int, h1 long, h2 long")
-    found = materialize(found, "windows")
-    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    hits = found.join(twice, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "at")
-    return hits.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("starts"))
+    found = rows.select("row_key", "text").mapInArrow(candidates, "h1 long, h2 long, row_key long, at int, known boolean")
+    group = Window.partitionBy("h1", "h2")
+    counted = found.withColumn("n", F.count("*").over(group))
+    hits = counted.where("known OR n > 1").select("row_key", "at")
+    return hits.groupBy("row_key").agg(F.collect_list("at").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, p: SubstringParameters = SubstringParameters(), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (if asked) the kept words of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    starts = repeated_windows(docs, p).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    rows = docs.select("text", *row_key())
-    both = rows.join(starts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    starts = repeated_windows(rows, p).withColumnRenamed("row_key", "k")
+    # Hashing the small side leaves the texts unsorted.
+    both = rows.join(starts.hint("shuffle_hash"), F.col("row_key") == F.col("k"), "left")
     window = p.window
 
     def make():
