@@ -2,9 +2,10 @@
 
 A document's distinct word shingles are hashed once; the hash's top bits name a bin and each bin keeps its minimum.
 Empty bins borrow from a bin found by their own hash sequence (optimal densification). Bands of bins name buckets. In a
-bucket every member is compared with one centre only; links are confirmed on the full sets. Members that are still in
-different components get further centres, round by round, until no pair of a bucket is unsettled, so stars lose no link
-that the buckets hold.
+bucket every member is compared with one centre only; links are confirmed on the full sets. Buckets whose members are still
+in different components get another centre in each further round, outliers first. A round makes at most a pair a member
+and bucket, so pairs never grow with the square of a group. A link is lost only if its ends share no bucket, or if in every
+bucket they share no centre is linked with both; README.md gives measured recall.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows and rows with one id share a component (the smallest id); a row with a null
@@ -29,14 +30,14 @@ from weftgraph.llm.common import SLICE_ROWS, discard, emit, map_rows, materializ
 class NearDupParameters:
     """A link of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99999 at 0.8.
 
-    Up to broadcast_ids ids (8 bytes each) are sent to all executors to filter a scan; more are joined by shuffling.
+    ``rounds`` are star rounds after the first. Up to broadcast_ids ids (8 bytes each) are sent to all executors to filter a scan; more are joined by shuffling.
     """
 
     shingle_words: int = 5
     percent: int = 80
     rows: int = 8
     bands: int = 64
-    centres: int = 8
+    rounds: int = 2
     broadcast_ids: int = 1_000_000
 
 
@@ -159,6 +160,10 @@ def only(df: DataFrame, key: str, ids: DataFrame, most: int) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, df[key] == ids.id, "left_semi")
 
 
+def is_empty(df: DataFrame) -> bool:
+    return df.limit(1).count() == 0
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -182,36 +187,30 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     members = materialize(members.join(stars, "bucket"), "members")
     wanted = materialize(members.select("id").distinct(), "wanted")
     sets = materialize(hash_sets(only(docs, "doc_id", wanted, p.broadcast_ids), size), "sets")
-    pairs = members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    tried = pairs = materialize(members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(confirm(pairs, sets, p), "links")
     used = members.select("bucket", F.col("centre").alias("id")).distinct()
-    found = [links]
-    while True:
-        labels = components(_union(found))
+    labels = components(links)
+    for _ in range(p.rounds):
         now = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         # A bucket is settled once the members that haven't been its centre lie in one component.
-        open_ = now.join(used, ["bucket", "id"], "left_anti")
-        spread = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        sized = open_.join(spread, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        main = sized.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        slot = F.pmod(F.xxhash64("component"), F.lit(p.centres))
-        centres = sized.join(main, "bucket").where("component != main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "id", "component")).alias("c"))
+        unused = materialize(now.join(used, ["bucket", "id"], "left_anti"), "unused")
+        spread = unused.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        sized = unused.join(spread, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        # The next centre is of a bucket's least component: it is the outlier that the larger ones haven't been compared with.
+        centres = sized.groupBy("bucket").agg(F.min(F.struct("n", F.xxhash64("bucket", "id"), "id", "component")).alias("c"))
         centres = materialize(centres.select("bucket", F.col("c.id").alias("a"), F.col("c.component").alias("ca")), "centres")
-        if centres.limit(1).count() == 0:
+        if is_empty(centres):
             break
-        more = open_.join(centres, "bucket").where("component != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        more = materialize(more, "pairs")
+        more = unused.join(centres, "bucket").where("component != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         ends = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "ends")
-        found.append(materialize(confirm(more, only(sets, "id", ends, p.broadcast_ids), p), "links"))
-        used = materialize(used.union(centres.select("bucket", F.col("a").alias("id"))), "used")
+        links = materialize(links.union(confirm(more, only(sets, "id", ends, p.broadcast_ids), p)), "links")
+        labels = components(links)
+        used = used.union(centres.select("bucket", F.col("a").alias("id")))
+        tried = tried.union(more)
+        discard(unused)
     heads = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
