@@ -11,7 +11,6 @@ repeated rows get equal rates; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -28,10 +27,14 @@ DOMAINS = ("high", "low", "toxic")
 class MixingParameters:
     """sample bounds the labelled documents that the classifier is fitted on; weights are target token shares."""
 
-    weights: dict = field(default_factory=lambda: {"high": 0.85, "low": 0.15, "toxic": 0.0})
+    weights: dict = field(default_factory=lambda: {"high": 0.9, "low": 0.1, "toxic": 0.0})
     sample: int = 4000
-    features: int = 1 << 14
-    epochs: int = 300
+    least_documents: int = 3
+    most_terms: int = 50_000
+    least_association: float = 2.0
+    epochs: int = 200
+    rate: float = 0.3
+    ridge: float = 1e-4
     most_iterations: int = 50
     tolerance: float = 1e-9
 
@@ -41,64 +44,115 @@ def domain_of(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "high").when(F.col(quality) == 0, "low")
 
 
-def features(text: str | None, width: int) -> tuple[list[int], list[float], int]:
-    """Hashed lower-case words with damped counts scaled to length 1, shape features, and the number of words."""
-    low = (text or "").lower().split()
-    counts = Counter(low)
-    acc: dict[int, float] = {}
-    for w, n in counts.items():
-        k = zlib.crc32(w.strip(".,;:!?\"'()").encode()) % (width - 8)
-        acc[k] = acc.get(k, 0.0) + 1.0 + np.log(n)
-    norm = sum(v * v for v in acc.values()) ** 0.5 or 1.0
-    n, chars = len(low), len(text or "") or 1
-    lines = (text or "").split("\n")
-    shape = [
+def word_counts(text: str | None) -> Counter:
+    """Lower-case words with their punctuation."""
+    return Counter((text or "").lower().split())
+
+
+def word_terms(raw: str) -> tuple[str, ...]:
+    """A word bare of punctuation and, marked, its first letters: inflected and compound words share a stem."""
+    w = raw.strip(".,;:!?\"'()")
+    return (w, *((w[:4] + "*",) if len(w) > 4 else ()), *((w[:6] + "*",) if len(w) > 6 else ()))
+
+
+def terms(counts: Counter) -> set[str]:
+    return {t for raw in counts for t in word_terms(raw)}
+
+
+SYMBOLS, UPPER, DIGITS = b"#*$%&|<>!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+
+
+def shape(text: str | None, counts: Counter) -> list[float]:
+    """Features of a text's form, each about 0 to 1, and a constant."""
+    data = (text or "").encode()
+    n, size, lines = sum(counts.values()), len(data) or 1, data.split(b"\n")
+    share = lambda chars: (len(data) - len(data.translate(None, chars))) / size
+    return [
         1.0,
         len(counts) / max(n, 1),
-        sum(map((text or "").count, "#*$%&|<>!")) / chars * 10,
-        sum(map(str.isupper, text or "")) / chars,
+        min(1.0, share(SYMBOLS) * 10),
+        share(UPPER),
         min(n, 50) / 50,
         1 - len(set(lines)) / len(lines),
         max(counts.values(), default=0) / max(n, 1),
-        sum(map(str.isdigit, text or "")) / chars * 10,
+        min(1.0, share(DIGITS) * 10),
     ]
-    index = [*acc, *range(width - 8, width)]
-    return index, [*(2 * v / norm for v in acc.values()), *shape], n
 
 
 class DomainModel:
-    """Softmax regression on hashed words."""
-
-    def __init__(self, weights: np.ndarray, domains: list[str]):
-        self.weights, self.domains = weights, domains
-
-    def posterior(self, index: list[int], values: list[float]) -> list[float]:
-        z = np.asarray(values) @ self.weights[index]
+    """Softmax regression on the presence of known terms and the shape features."""
+
+    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, domains: list[str]):
+        self.vocabulary, self.weights, self.domains = vocabulary, weights, domains
+
+    def posterior(self, text: str | None, counts: Counter, cache: dict | None = None) -> list[float]:
+        """``cache`` keeps the terms of words from one text to the next."""
+        cache = {} if cache is None else cache
+        if len(cache) > 300_000:
+            cache.clear()
+        known: set[int] = set()
+        for raw in counts:
+            at = cache.get(raw)
+            if at is None:
+                at = cache[raw] = tuple(i for t in word_terms(raw) if (i := self.vocabulary.get(t)) is not None)
+            if at:
+                known.update(at)
+        z = self.weights[sorted(known)].sum(axis=0) + np.asarray(shape(text, counts)) @ self.weights[len(self.vocabulary) :]
         z = np.exp(z - z.max())
         return (z / z.sum()).tolist()
 
 
 def train(rows: list[tuple], p: MixingParameters) -> DomainModel:
-    """Full-batch gradient steps with adaptive rates (Adagrad) and a small ridge, over (domain, index, values) rows."""
+    """Full-batch gradient steps with adaptive rates (Adagrad) and a ridge, over (domain, terms, shape) rows.
+
+    The vocabulary is the terms of at least ``least_documents`` training documents that go with some domain, each weighed by how
+    clearly it does.
+    """
     domains = sorted({r[0] for r in rows}) or ["high"]
-    w = np.zeros((p.features, len(domains)))
+    n_shape = len(shape("", Counter()))
     if len(domains) == 1:
-        return DomainModel(w, domains)
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    index = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[2] for r in rows])
+        return DomainModel({}, np.zeros((n_shape, 1)), domains)
     y = np.zeros((len(rows), len(domains)))
     y[np.arange(len(rows)), [domains.index(r[0]) for r in rows]] = 1
-    used, squares = np.unique(index), np.full_like(w, 1e-8)
-    place = np.searchsorted(used, index)
+    seen = Counter(t for r in rows for t in r[1])
+    place = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n >= p.least_documents))}
+    owner = np.concatenate([np.full(len(r[1]), i) for i, r in enumerate(rows)]).astype(np.int64)
+    index = np.array([place.get(t, -1) for r in rows for t in r[1]], np.int64)
+    owner, index = owner[index >= 0], index[index >= 0]
+    have = np.stack([np.bincount(index, y[owner, k], len(place)) for k in range(len(domains))], axis=1)
+    z = association(have, y.sum(axis=0))
+    value = np.minimum(2.0, (z / 4) ** 2)
+    kept = np.argsort(-z, kind="stable")[: p.most_terms]
+    kept = kept[z[kept] >= p.least_association]
+    new = np.full(len(place), -1)
+    new[kept] = np.arange(len(kept))
+    owner, index, value = owner[new[index] >= 0], new[index][new[index] >= 0], value[kept]
+    n_terms, forms = len(kept), np.asarray([r[2] for r in rows])
+    w = np.zeros((n_terms + n_shape, len(domains)))
+    squares = np.full_like(w, 1e-8)
     for _ in range(p.epochs):
-        z = np.stack([np.bincount(owner, value * w[index, k], len(rows)) for k in range(len(domains))], axis=1)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        error = (z / z.sum(axis=1, keepdims=True) - y) / len(rows)
-        grad = np.stack([np.bincount(place, value * error[owner, k], len(used)) for k in range(len(domains))], axis=1) + 1e-5 * w[used]
-        squares[used] += grad * grad
-        w[used] -= 0.3 * grad / np.sqrt(squares[used])
-    return DomainModel(w, domains)
+        scaled = w[:n_terms] * value[:, None]
+        out = np.stack([np.bincount(owner, scaled[index, k], len(rows)) for k in range(len(domains))], axis=1) + forms @ w[n_terms:]
+        out = np.exp(out - out.max(axis=1, keepdims=True))
+        error = (out / out.sum(axis=1, keepdims=True) - y) / len(rows)
+        grad = np.concatenate([np.stack([np.bincount(index, error[owner, k], n_terms) for k in range(len(domains))], axis=1) * value[:, None], forms.T @ error])
+        grad[:n_terms] += p.ridge * w[:n_terms]
+        squares += grad * grad
+        w -= p.rate * grad / np.sqrt(squares)
+    w[:n_terms] *= value[:, None]
+    names = sorted(place, key=place.get)
+    return DomainModel({names[j]: i for i, j in enumerate(kept.tolist())}, w, domains)
+
+
+def association(have: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each term, the largest z-score of its log odds in one domain against the others."""
+    z = np.zeros(len(have))
+    for k in range(have.shape[1]):
+        a, b = have[:, k], have.sum(axis=1) - have[:, k]
+        n, m = size[k], size.sum() - size[k]
+        odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
+        z = np.maximum(z, np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+    return z
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, p: MixingParameters) -> DomainModel:
@@ -106,30 +160,28 @@ def fit_domains(docs: DataFrame, labels: DataFrame, p: MixingParameters) -> Doma
     labelled = labels.select(F.col("doc_id").alias("id"), domain_of().alias("domain")).where("domain is not null and id is not null")
     chosen = labelled.orderBy(F.xxhash64(F.lit(3), "id"), "id", "domain").limit(p.sample).dropDuplicates(["id"])
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "domain", "text")
-    width = p.features
 
     def make():
         def one(i, domain, text):
-            index, values, _ = features(text, width)
-            return i, domain, index, values
+            counts = word_counts(text)
+            return i, domain, sorted(terms(counts)), shape(text, counts)
 
         return one
 
-    rows = map_rows(texts, make, "id long, domain string, index array<long>, vals array<double>").orderBy("id", "domain").limit(2 * p.sample).collect()
+    rows = map_rows(texts, make, "id long, domain string, words array<string>, shape array<double>").orderBy("id", "domain").limit(2 * p.sample).collect()
     return train([(r[1], r[2], r[3]) for r in rows], p)
 
 
-def posteriors(docs: DataFrame, model: DomainModel, p: MixingParameters) -> DataFrame:
+def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, tokens and the posterior of every domain."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    width = p.features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_terms bounds it
 
     def make():
-        known = shared.value
+        known, cache = shared.value, {}
 
         def one(doc_id, text):
-            index, values, n = features(text, width)
-            return doc_id, n, known.posterior(index, values)
+            counts = word_counts(text)
+            return doc_id, sum(counts.values()), known.posterior(text, counts, cache)
 
         return one
 
@@ -185,7 +237,7 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
 def mix(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParameters()) -> DataFrame:
     """doc_id, tokens, posterior, domain, rate and copies (the rate rounded to a whole number) of every row."""
     model = fit_domains(docs, labels, p)
-    soft = materialize(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, p), "soft")
+    soft = materialize(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), "soft")
     rated, _, _ = fit_rates(soft, model.domains, p)
     names = F.array(*[F.lit(d) for d in model.domains])
     best = names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
