@@ -2,7 +2,7 @@
 
 A window of 35 words is represented by its anchor, the 8-word shingle of least hash inside it (leftmost on ties), so equal
 windows have equal anchors. Tasks count anchors into sketches; merged, they overestimate the count of every anchor and so
-of every window. A second pass groups, exactly and by 128-bit hashes, only windows whose anchor is estimated repeated;
+of every window. A second pass groups, exactly and by 96-bit hashes, only windows whose anchor is estimated repeated;
 a third removes the words that repeated windows cover. No window is lost: an estimate is never below the count.
 
 Cases: a null text has no words; texts shorter than a window are untouched; windows repeated inside one document count
@@ -157,30 +157,34 @@ def settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> t
     """Marks windows that repeat inside a chunk as known; all but one of a group get a key of their own.
 
     So a task sends a window's sequence once however often it holds it, and no key gathers more rows than there are chunks.
+    A row is the first 64 bits of the window's hash, the text's key, and one number of 32 further bits, start and mark.
     """
     order = np.lexsort((h2, h1))
     h1, h2, key, at = h1[order], h2[order], key[order], at[order]
     same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
     later = np.concatenate([[False], same])
     known = later | np.concatenate([same, [False]])
-    own = mix(key.astype(np.uint64) * P1 + at.astype(np.uint64))
-    return np.where(later, own, h1), np.where(later, mix(own), h2), key, at, known
+    own = mix(key.astype(np.uint64) * P1 + at)
+    high = np.where(later, own, h2) & ~LOW
+    return np.where(later, own, h1), key, high | at << np.uint64(1) | known.astype(np.uint64)
+
+
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
     """row_key, starts: the start positions of windows that start elsewhere too."""
     n_cells = n_cells_for(rows, p)
     shared = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, n_cells, p))
-    arrow = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("row_key", pa.int64()), ("at", pa.int32()), ("known", pa.bool_())])
+    arrow = pa.schema([("h1", pa.int64()), ("row_key", pa.int64()), ("rest", pa.int64())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, size = shared.value, [], 0
 
         def flush():
-            h1, h2, key, at, known = settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            columns = [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key), pa.array(at), pa.array(known)]
-            whole = pa.RecordBatch.from_arrays(columns, schema=arrow)
-            for start in range(0, len(at), 65536):
+            h1, key, rest = settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            whole = pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(key), pa.array(rest.view(np.int64))], schema=arrow)
+            for start in range(0, len(key), 65536):
                 yield whole.slice(start, 65536)
 
         for batch in batches:
@@ -193,7 +197,7 @@ def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
                     h = word_hashes(w)
                     at = np.flatnonzero(marked(bits, cells(anchor_of_windows(h[:, 0], p), n_cells)))
                     if len(at):
-                        held.append((rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at], np.full(len(at), key), at.astype(np.int32)))
+                        held.append((rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at] & ~LOW, np.full(len(at), key), at.astype(np.uint64)))
                         size += len(at)
                         if size >= CHUNK:
                             yield from flush()
@@ -201,10 +205,10 @@ def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
         if held:
             yield from flush()
 
-    found = rows.select("row_key", "text").mapInArrow(candidates, "h1 long, h2 long, row_key long, at int, known boolean")
-    group = Window.partitionBy("h1", "h2")
-    counted = found.withColumn("n", F.count("*").over(group))
-    hits = counted.where("known OR n > 1").select("row_key", "at")
+    found = rows.select("row_key", "text").mapInArrow(candidates, "h1 long, row_key long, rest long").repartition("h1")
+    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h1", F.shiftright("rest", 32))))
+    mark, start = F.col("rest").bitwiseAND(1) == 1, F.shiftright(F.col("rest").bitwiseAND(0xFFFFFFFF), 1).cast("int")
+    hits = counted.where(mark | (F.col("n") > 1)).select("row_key", start.alias("at"))
     return hits.groupBy("row_key").agg(F.collect_list("at").alias("starts"))
 
 
