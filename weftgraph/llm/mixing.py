@@ -36,7 +36,7 @@ class MixingParameters:
     rate: float = 0.3
     ridge: float = 1e-4
     most_iterations: int = 50
-    tolerance: float = 1e-9
+    tolerance: float = 1e-6
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic"):
@@ -229,7 +229,7 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
         history.append([float(x) for x in inverse @ gap])
         got = soft.select("tokens", "posterior", rate().alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(place)]).first()
         before, reached = reached, np.array([x or 0.0 for x in got])
-        if np.abs(reached - before).max() <= 1e-12 * scale:
+        if np.abs(reached - before).max() <= p.tolerance * scale:
             break
     return soft.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round(rate(), 9))), reached, target
 
