@@ -13,6 +13,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,33 +54,39 @@ def grams(word: str, size: int) -> list[str]:
 class LanguageModel:
     """Log frequencies by language of words (length 0) and of character n-grams of each length."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], p: LanguageParameters = LanguageParameters()):
-        self.p, self.languages = p, sorted({c[0] for c in counts})
+    def __init__(self, grams: pa.Table | None = None, p: LanguageParameters = LanguageParameters()):
+        """``grams`` has the columns lang, kind, gram and n, one row a gram and language."""
+        self.p = p
+        columns = [grams[c] for c in ("lang", "kind", "gram", "n")] if grams is not None else [[]] * 4
+        langs, kinds, names, counts = (c if isinstance(c, list) else c.to_pylist() for c in columns)
+        self.languages = sorted(set(langs))
         place = {x: i for i, x in enumerate(self.languages)}
-        totals: Counter = Counter()
-        by_gram: dict[tuple[int, str], Counter] = {}
-        for lang, kind, gram, n in counts:
-            totals[lang, kind] += n
-            by_gram.setdefault((kind, gram), Counter())[place[lang]] += n
-        width = len(self.languages)
-        floor = {(i, k): math.log(p.unseen / max(1, totals[x, k])) for x, i in place.items() for k in range(p.longest + 1)}
-        self.table: list[dict[str, list[float]]] = [{} for _ in range(p.longest + 1)]
-        for (kind, gram), c in by_gram.items():
-            self.table[kind][gram] = [floor[i, kind] + (math.log(1 + c[i] / p.unseen) if c[i] else 0.0) for i in range(width)]
+        self.table: list[dict[str, int]] = [{} for _ in range(p.longest + 1)]
+        rows = [self.table[k].setdefault(g, sum(map(len, self.table))) for k, g in zip(kinds, names, strict=True)]
+        have = np.zeros((max(rows, default=-1) + 1, len(place)), np.float32)
+        where = np.array([place[x] for x in langs], np.int64)
+        have[rows, where] = counts
+        kind_of = np.zeros(len(have), np.int64)
+        kind_of[rows] = kinds
+        totals = np.zeros((p.longest + 1, len(place)))
+        np.add.at(totals, (kinds, where), counts)
+        floor = np.log(p.unseen / np.maximum(1, totals))
+        self.scores = (floor[kind_of] + np.log1p(have / p.unseen)).astype(np.float32)
 
     def word(self, w: str) -> list[float] | None:
         """Scores by language relative to the best one; None if nothing of the word is known."""
-        found = self.table[WORD].get(w)
-        if found is None:
+        at = self.table[WORD].get(w)
+        if at is not None:
+            found = self.scores[at]
+        else:
             for size in range(self.p.longest, 0, -1):
-                hits = [s for g in grams(w, size) if (s := self.table[size].get(g)) is not None]
+                hits = [i for g in grams(w, size) if (i := self.table[size].get(g)) is not None]
                 if hits:
-                    found = [sum(x) / len(hits) for x in zip(*hits, strict=True)]
+                    found = self.scores[hits].mean(axis=0)
                     break
             else:
                 return None
-        top = max(found)
-        return [x - top for x in found]
+        return (found - found.max()).tolist()
 
     def predict(self, counts: Counter, cache: dict | None = None) -> tuple[str, float]:
         """The language of most likelihood, and its posterior with evidence of at most ``sharpness`` words."""
@@ -110,7 +117,7 @@ def fit(train: DataFrame, p: LanguageParameters = LanguageParameters()) -> Langu
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
     if not sizes:
-        return LanguageModel([], p)
+        return LanguageModel(None, p)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, p.docs_per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_003)) / 1_000_003
     sample = train.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
@@ -130,7 +137,7 @@ def fit(train: DataFrame, p: LanguageParameters = LanguageParameters()) -> Langu
 
     counted = flat_map_rows(sample.select("lang", "text"), make, "lang string, kind int, gram string, n long")
     top = counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "gram", "lang").limit(p.model_size)
-    return LanguageModel([tuple(r) for r in top.collect()], p)
+    return LanguageModel(top.toArrow(), p)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -11,6 +11,7 @@ repeated rows get equal rates; an empty table gives an empty table; other column
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -55,8 +56,9 @@ def word_terms(raw: str) -> tuple[str, ...]:
     return (w, *((w[:4] + "*",) if len(w) > 4 else ()), *((w[:6] + "*",) if len(w) > 6 else ()))
 
 
-def terms(counts: Counter) -> set[str]:
-    return {t for raw in counts for t in word_terms(raw)}
+def term_hashes(counts: Counter) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's terms."""
+    return np.unique(np.array([zlib.crc32(t.encode()) for raw in counts for t in word_terms(raw)], np.uint32))
 
 
 SYMBOLS, UPPER, DIGITS = b"#*$%&|<>!", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -82,7 +84,7 @@ def shape(text: str | None, counts: Counter) -> list[float]:
 class DomainModel:
     """Softmax regression on the presence of known terms and the shape features."""
 
-    def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, domains: list[str]):
+    def __init__(self, vocabulary: dict[int, int], weights: np.ndarray, domains: list[str]):
         self.vocabulary, self.weights, self.domains = vocabulary, weights, domains
 
     def posterior(self, text: str | None, counts: Counter, cache: dict | None = None) -> list[float]:
@@ -94,7 +96,7 @@ class DomainModel:
         for raw in counts:
             at = cache.get(raw)
             if at is None:
-                at = cache[raw] = tuple(i for t in word_terms(raw) if (i := self.vocabulary.get(t)) is not None)
+                at = cache[raw] = tuple(i for t in word_terms(raw) if (i := self.vocabulary.get(zlib.crc32(t.encode()))) is not None)
             if at:
                 known.update(at)
         z = self.weights[sorted(known)].sum(axis=0) + np.asarray(shape(text, counts)) @ self.weights[len(self.vocabulary) :]
@@ -103,7 +105,7 @@ class DomainModel:
 
 
 def train(rows: list[tuple], p: MixingParameters) -> DomainModel:
-    """Full-batch gradient steps with adaptive rates (Adagrad) and a ridge, over (domain, terms, shape) rows.
+    """Full-batch gradient steps with adaptive rates (Adagrad) and a ridge, over (domain, term hashes, shape) rows.
 
     The vocabulary is the terms of at least ``least_documents`` training documents that go with some domain, each weighed by how
     clearly it does.
@@ -114,17 +116,17 @@ def train(rows: list[tuple], p: MixingParameters) -> DomainModel:
         return DomainModel({}, np.zeros((n_shape, 1)), domains)
     y = np.zeros((len(rows), len(domains)))
     y[np.arange(len(rows)), [domains.index(r[0]) for r in rows]] = 1
-    seen = Counter(t for r in rows for t in r[1])
-    place = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n >= p.least_documents))}
-    owner = np.concatenate([np.full(len(r[1]), i) for i, r in enumerate(rows)]).astype(np.int64)
-    index = np.array([place.get(t, -1) for r in rows for t in r[1]], np.int64)
-    owner, index = owner[index >= 0], index[index >= 0]
-    have = np.stack([np.bincount(index, y[owner, k], len(place)) for k in range(len(domains))], axis=1)
+    every, index, seen = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    common = seen[index] >= p.least_documents
+    place = np.cumsum(seen >= p.least_documents) - 1
+    owner, index, every = owner[common], place[index[common]], every[seen >= p.least_documents]
+    have = np.stack([np.bincount(index, y[owner, k], len(every)) for k in range(len(domains))], axis=1)
     z = association(have, y.sum(axis=0))
     value = np.minimum(2.0, (z / 4) ** 2)
     kept = np.argsort(-z, kind="stable")[: p.most_terms]
     kept = kept[z[kept] >= p.least_association]
-    new = np.full(len(place), -1)
+    new = np.full(len(every), -1)
     new[kept] = np.arange(len(kept))
     owner, index, value = owner[new[index] >= 0], new[index][new[index] >= 0], value[kept]
     n_terms, forms = len(kept), np.asarray([r[2] for r in rows])
@@ -140,8 +142,7 @@ def train(rows: list[tuple], p: MixingParameters) -> DomainModel:
         squares += grad * grad
         w -= p.rate * grad / np.sqrt(squares)
     w[:n_terms] *= value[:, None]
-    names = sorted(place, key=place.get)
-    return DomainModel({names[j]: i for i, j in enumerate(kept.tolist())}, w, domains)
+    return DomainModel({t: i for i, t in enumerate(every[kept].tolist())}, w, domains)
 
 
 def association(have: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -164,12 +165,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, p: MixingParameters) -> Doma
     def make():
         def one(i, domain, text):
             counts = word_counts(text)
-            return i, domain, sorted(terms(counts)), shape(text, counts)
+            return i, domain, term_hashes(counts).tobytes(), shape(text, counts)
 
         return one
 
-    rows = map_rows(texts, make, "id long, domain string, words array<string>, shape array<double>").orderBy("id", "domain").limit(2 * p.sample).collect()
-    return train([(r[1], r[2], r[3]) for r in rows], p)
+    rows = map_rows(texts, make, "id long, domain string, terms binary, shape array<double>").orderBy("id", "domain").limit(2 * p.sample).collect()
+    return train([(r[1], np.frombuffer(r[2], np.uint32), r[3]) for r in rows], p)
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
