@@ -52,7 +52,7 @@ def lit(value: Any) -> Column:
 
 
 for name, fn in {
-    "upper": F.upper, "lower": F.lower, "levenshtein": F.levenshtein, "initcap": F.initcap, "translate": F.translate, "abs": F.abs, "sqrt": F.sqrt, "pow": F.pow,
+    "upper": F.upper, "lower": F.lower, "levenshtein": F.levenshtein, "initcap": F.initcap, "abs": F.abs, "sqrt": F.sqrt, "pow": F.pow,
     "log10": F.log10, "log2": F.log2, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "cbrt": F.cbrt, "hypot": F.hypot,
     "sign": F.signum, "radians": F.radians, "degrees": F.degrees, "atan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "exp": F.exp, "ln": F.ln,
     "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second, "current_date": F.current_date,
@@ -144,6 +144,11 @@ def insert(s: Column, at: Column, n: Column, new: Column) -> Column:
     return F.overlay(s, new, at + 1, n)
 
 
+@scalar()
+def translate(s: Column, old: Column, new: Column) -> Column:
+    return F.translate(s, literal(old), literal(new))
+
+
 @scalar()
 def format(pattern: Column, *args: Column) -> Column:
     out = pattern
@@ -435,7 +440,7 @@ def json_build_object(*pairs: Column) -> Column:
 
 @scalar("json_build_array")
 def json_build_array(*items: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.regexp_replace(F.to_json(F.struct(x.alias("v"))), r"^\{\"v\":|\}$", ""), F.lit("null")) for x in items]), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(F.regexp_replace(F.to_json(F.struct(x.alias("v")), {"ignoreNullFields": "false"}), r"^\{\"v\":|\}$", ""), F.lit("null")) for x in items]), F.lit("]"))
 
 
 @scalar("json_object_keys")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -224,10 +225,12 @@ class Compiler:
         return -self(e.arg)
 
     def kind(self, c: Column) -> str:
-        """The type of a Column over this scope, as Spark resolves it."""
+        """The type of a Column over this scope, as Spark resolves it; unknown inside a lambda, whose variables have none here."""
+        if self.local:
+            return ""
         try:
             return self.scope.df.select(c.alias("c")).schema[0].dataType.simpleString()
-        except Exception:  # a lambda's variable has no type of its own here
+        except AnalysisException:
             return ""
 
     def on_binary(self, e: A.Binary) -> Column:
@@ -385,6 +388,15 @@ class Compiler:
             spec = spec.rowsBetween(FULL[0] if low is None else low, FULL[1] if high is None else high)
         return self.aggregate(A.Call(e.name, e.args, e.distinct, e.star, e.filter, e.within)).over(spec)
 
+    def fn_date_add(self, e: A.Call) -> Column | None:
+        """A date stays a date; anything else keeps its time of day."""
+        day, n = self(e.args[0]), self(e.args[1])
+        return F.date_add(day, n.cast("int")) if self.kind(day) == "date" else None
+
+    def fn_date_sub(self, e: A.Call) -> Column | None:
+        day, n = self(e.args[0]), self(e.args[1])
+        return F.date_sub(day, n.cast("int")) if self.kind(day) == "date" else None
+
     # -- functions of graph elements and paths
     def _element(self, e: A.Call) -> Element | None:
         return self.element(e.args[0]) if e.args else None

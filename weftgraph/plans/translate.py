@@ -471,7 +471,8 @@ class Translator:
         seen = settle(start.distinct(), "recursion")
         new = seen
         for _ in range(most):
-            new = settle(step(new).join(seen, [step(new)[c].eqNullSafe(seen[c]) for c in seen.columns], "left_anti").distinct(), "recursion")
+            grown = step(new).toDF(*seen.columns).distinct()
+            new = settle(relational.join(grown, seen, [(c, c) for c in seen.columns], "left_anti", null_safe=True), "recursion")
             if new.limit(1).count() == 0:
                 break
             seen = seen.union(new)

@@ -14,8 +14,13 @@ from weftgraph.runtime import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of Parquet files as a stream, its schema taken from the files there are."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A directory of Parquet files (or one file, taken by its name in its directory) as a stream."""
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rstrip("/").rpartition("/")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    single = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(target).isFile()
+    reader = spark.readStream.schema(schema)
+    return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
 def timed(events: DataFrame) -> DataFrame:

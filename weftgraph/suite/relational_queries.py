@@ -108,7 +108,7 @@ text_query("agg_statistics", "MATCH (c:customer) RETURN c.c_mktsegment AS s, rou
 text_query("agg_bits", "MATCH (c:customer) RETURN c.c_nationkey AS k, bit_and(c.c_custkey) AS a, bit_or(c.c_custkey) AS o, bit_xor(c.c_custkey) AS x, bool_and(c.c_acctbal > -1000) AS ba, bool_or(c.c_acctbal > 9900) AS bo", "SELECT c_nationkey AS k, bit_and(c_custkey) AS a, bit_or(c_custkey) AS o, bit_xor(c_custkey) AS x, bool_and(c_acctbal > -1000) AS ba, bool_or(c_acctbal > 9900) AS bo FROM customer GROUP BY 1")
 text_query("agg_mode", "MATCH (p:part) RETURN p.p_brand AS b, mode(p.p_size) AS m", "SELECT b, min(s) AS m FROM (SELECT p_brand AS b, p_size AS s, count(*) AS n, max(count(*)) OVER (PARTITION BY p_brand) AS mx FROM part GROUP BY 1, 2) WHERE n = mx GROUP BY b")
 text_query("agg_product", "MATCH (n:nation) RETURN n.n_regionkey AS r, product(n.n_nationkey + 1) AS p", "SELECT n_regionkey AS r, product(n_nationkey + 1) AS p FROM nation GROUP BY 1")
-text_query("agg_vectors", "MATCH (e:embeddings) WHERE e.vec_id < 100 RETURN e.label AS l, [x IN vec_sum(e.embedding) | round(x, 4)] AS s, [x IN vec_avg(e.embedding) | round(x, 4)] AS a", "SELECT label AS l, list(round(s, 4) ORDER BY i) AS s, list(round(a, 4) ORDER BY i) AS a FROM (SELECT label, i, sum(embedding[i]::DOUBLE) AS s, avg(embedding[i]::DOUBLE) AS a FROM embeddings, range(1, 65) t(i) WHERE vec_id < 100 GROUP BY 1, 2) GROUP BY 1")
+text_query("agg_vectors", "MATCH (e:embeddings) WHERE e.vec_id < 100 RETURN e.label AS l, [x IN vec_sum(e.embedding) | round(x, 4) + 0] AS s, [x IN vec_avg(e.embedding) | round(x, 4) + 0] AS a", "SELECT label AS l, list(round(s, 4) + 0 ORDER BY i) AS s, list(round(a, 4) + 0 ORDER BY i) AS a FROM (SELECT label, i, sum(embedding[i]::DOUBLE) AS s, avg(embedding[i]::DOUBLE) AS a FROM embeddings, range(1, 65) t(i) WHERE vec_id < 100 GROUP BY 1, 2) GROUP BY 1")
 text_query("agg_global_empty", "MATCH (c:customer) WHERE c.c_acctbal > 1000000 RETURN count(*) AS n, sum(c.c_acctbal) AS s", "SELECT count(*) AS n, sum(c_acctbal) AS s FROM customer WHERE c_acctbal > 1000000")
 text_query("agg_mixed_expression", "MATCH (o:orders) RETURN o.o_orderstatus AS s, sum(o.o_totalprice) / count(*) AS m, max(o.o_totalprice) - min(o.o_totalprice) AS r", "SELECT o_orderstatus AS s, sum(o_totalprice) / count(*) AS m, max(o_totalprice) - min(o_totalprice) AS r FROM orders GROUP BY 1")
 

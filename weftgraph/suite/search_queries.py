@@ -30,7 +30,7 @@ text_query("search_fuzzy", "SEARCH ON doc_text('erinn~1') YIELD doc_id AS k, rou
 text_query("search_field", "SEARCH ON doc_text('text:erin') YIELD doc_id AS k, matched_fields() AS f", f"SELECT doc_id AS k, ['text'] AS f FROM documents WHERE list_contains({_TOK}, 'erin')")
 text_query("search_phrase", "SEARCH ON doc_text('\"of the\"') YIELD doc_id AS k", f"SELECT doc_id AS k FROM documents WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")
 text_query("search_range", "SEARCH ON doc_text('erin AND n_chars:[100 TO 900]') YIELD doc_id AS k", f"SELECT doc_id AS k FROM documents WHERE list_contains({_TOK}, 'erin') AND n_chars BETWEEN 100 AND 900")
-text_query("search_top", "SEARCH ON doc_text('erin shor') YIELD doc_id AS k, round(score(), 6) AS s WHERE score() > 0.5 ORDER BY score() DESC, doc_id LIMIT 10", bm25([is_("erin"), is_("shor")], "(n1 > 0 OR n2 > 0)") + " AND s > 0.5 ORDER BY s DESC, k LIMIT 10")
+text_query("search_top", "SEARCH ON doc_text('erin shor') YIELD doc_id AS k, round(score(), 6) AS s WHERE score() > 0.5 ORDER BY score() DESC, doc_id LIMIT 10", f'SELECT * FROM ({bm25([is_("erin"), is_("shor")], "n1 > 0 OR n2 > 0")}) WHERE s > 0.5 ORDER BY s DESC, k LIMIT 10')
 text_query("search_snippet", "SEARCH ON doc_text('erin') YIELD doc_id AS k, length(snippet(text, 50)) <= 50 AS n, highlight(text) CONTAINS '<em>' AS h", f"SELECT doc_id AS k, true AS n, true AS h FROM documents WHERE list_contains({_TOK}, 'erin')")
 text_query("match_text_predicate", "MATCH (d:documents) WHERE d.text CONTAINS 'erin' RETURN d.lang AS l, count(*) AS n", "SELECT lang AS l, count(*) AS n FROM documents WHERE contains(text, 'erin') GROUP BY 1")
 
