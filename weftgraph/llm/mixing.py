@@ -200,7 +200,7 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
 
     Rates start at 1 and move by r = max(0, r - posterior . e); e is the residual of the totals in the metric of
     M = sum of tokens * posterior * posterior', in which the unconstrained step is exact and the projected one contracts.
-    The state of a document follows from the short history of e, so no table of rates is kept between iterations.
+    A document's rate follows from the last table of rates and the few values of e since, so an iteration is one sum.
     """
     k = len(domains)
     place = [F.col("posterior")[i] for i in range(k)]
@@ -214,25 +214,32 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
     target = targets_for(have, share)
     scale = have.sum() or 1.0
     inverse = np.linalg.pinv(m / scale + 1e-9 * np.eye(k)) / scale
-    history: list[list[float]] = []
+    steps: list[np.ndarray] = []
+    soft = soft.withColumn("rate", F.lit(1.0))
 
-    def rate():
-        if not history:
-            return F.lit(1.0)
-        steps = F.from_json(F.lit(str(history)), "array<array<double>>")
-        return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - sum((place[i] * e[i] for i in range(1, k)), place[0] * e[0])))
+    def stepped(df: DataFrame) -> DataFrame:
+        out = F.col("rate")
+        for e in steps:
+            out = F.greatest(F.lit(0.0), out - sum((place[i] * float(e[i]) for i in range(1, k)), place[0] * float(e[0])))
+        return df.withColumn("rate", out)
 
     reached = have
     for _ in range(p.most_iterations):
         gap = reached - target
         if np.abs(gap).max() <= p.tolerance * scale or not have.sum():
             break
-        history.append([float(x) for x in inverse @ gap])
-        got = soft.select("tokens", "posterior", rate().alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(place)]).first()
+        if len(steps) == STEPS_A_TABLE:
+            soft, steps = materialize(stepped(soft), "rates"), []
+        steps.append(inverse @ gap)
+        got = stepped(soft).agg(*[F.sum(F.col("rate") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(place)]).first()
         before, reached = reached, np.array([x or 0.0 for x in got])
         if np.abs(reached - before).max() <= p.tolerance * scale:
             break
-    return soft.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round(rate(), 9))), reached, target
+    return stepped(soft).withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round("rate", 9))), reached, target
+
+
+#: Steps that are folded into one generated expression before the rates are written down.
+STEPS_A_TABLE = 6
 
 
 def mix(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParameters()) -> DataFrame:
