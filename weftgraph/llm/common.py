@@ -15,9 +15,21 @@ from pyspark.sql.types import (
 #: Rows converted between Arrow and Python objects at a time; bounds a worker's memory, not the result.
 SLICE_ROWS = 256
 
+#: Rows of an Arrow batch between the JVM and Python. Texts run to megabytes, and a batch is held whole, off heap, on both sides.
+BATCH_ROWS = 512
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def words(text: str | None) -> list[bytes]:
     """UTF-8 words between ASCII white space (0x20 and 0x09 to 0x0D); none for null."""
     return text.encode().split() if text else []
@@ -92,7 +104,7 @@ def flat_map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple
                     yield emit(pending, arrow)
                     pending = []
 
-    return df.mapInArrow(run, out)
+    return small_batches(df).mapInArrow(run, out)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
@@ -116,4 +128,4 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield fn(batch.slice(at, SLICE_ROWS))
 
-    return df.toDF(*slots).mapInArrow(run, schema).toDF(*df.columns)
+    return small_batches(df).toDF(*slots).mapInArrow(run, schema).toDF(*df.columns)

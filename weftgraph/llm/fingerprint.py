@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import emit, words
+from weftgraph.llm.common import emit, words, small_batches
 
 SHINGLE = 5
 #: Of 256 first hash bytes, how many are retained: a fraction of 1/8.
@@ -149,4 +149,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                     yield emit(rows, arrow)
                     rows = []
 
-    return with_next(docs).select("bucket", "tail", "doc_id", "text").mapInArrow(run, out)
+    return small_batches(with_next(docs).select("bucket", "tail", "doc_id", "text")).mapInArrow(run, out)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_ROWS, discard, emit, map_rows, materialize
+from weftgraph.llm.common import SLICE_ROWS, discard, emit, map_rows, materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -151,7 +151,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFram
             if out:
                 yield emit(out, arrow)
 
-    return grouped.select("a", "b", "salt", "hashes").mapInArrow(run, "a long, b long")
+    return small_batches(grouped.select("a", "b", "salt", "hashes")).mapInArrow(run, "a long, b long")
 
 
 def only(df: DataFrame, key: str, ids: DataFrame, most: int) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import SLICE_ROWS, emit
+from weftgraph.llm.common import SLICE_ROWS, emit, small_batches
 
 LENGTH = 2048
 END_ID = 1
@@ -140,4 +140,4 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
         if rows:
             yield emit(rows, arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_ROWS, map_rows, words
+from weftgraph.llm.common import SLICE_ROWS, map_rows, words, small_batches
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ def repeated_cells(docs: DataFrame, n_cells: int, p: SubstringParameters) -> lis
         if held:
             yield from flush(held)
 
-    counted = docs.select("text").mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = small_batches(docs.select("text")).mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
     # Packed where they are counted: 64 cells a row of 16 bytes, so n_cells / 2 bytes bound what the driver gets.
     packed = counted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS INT)))").alias("bits"))
     out = np.zeros(2 * n_cells // 64, np.int64)
@@ -205,7 +205,7 @@ def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
         if held:
             yield from flush()
 
-    found = rows.select("row_key", "text").mapInArrow(candidates, "h1 long, row_key long, rest long").repartition("h1")
+    found = small_batches(rows.select("row_key", "text")).mapInArrow(candidates, "h1 long, row_key long, rest long").repartition("h1")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h1", F.shiftright("rest", 32))))
     mark, start = F.col("rest").bitwiseAND(1) == 1, F.shiftright(F.col("rest").bitwiseAND(0xFFFFFFFF), 1).cast("int")
     hits = counted.where(mark | (F.col("n") > 1)).select("row_key", start.alias("at"))
