@@ -52,9 +52,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and any executor can reread it."""
+#: Rows that a file of a small table holds.
+FILE_ROWS = 250_000
+
+
+def files_for(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
+
+
+def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and any executor can reread it.
+
+    A bound of its rows, where one is known, keeps a small table from becoming a file for each shuffle partition.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(files_for(most_rows))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_ROWS, discard, emit, map_rows, materialize, small_batches
+from weftgraph.llm.common import SLICE_ROWS, discard, emit, files_for, map_rows, materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ class NearDupParameters:
     percent: int = 80
     rows: int = 8
     bands: int = 64
-    rounds: int = 2
+    rounds: int = 1
     broadcast_ids: int = 1_000_000
 
 
@@ -105,14 +105,15 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ends of (a, b) edges, component the smallest id reachable: label spreading with shortcuts."""
-    both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    most = 2 * edges.count()
+    both = materialize(edges.union(edges.select("b", "a")).distinct(), "edges", most)
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels", most)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
         jumped = step.join(root, "component", "left").select("id", "old", F.least("component", F.coalesce("root", "component")).alias("component"))
-        new = materialize(jumped, "labels")
+        new = materialize(jumped, "labels", most)
         moved = new.where("component < old").limit(1).count()
         discard(labels)
         labels = new
@@ -179,33 +180,39 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
         return one
 
     signed = materialize(map_rows(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    n = signed.count()
     # Documents of equal sets are one class, which its smallest id stands for.
-    classes = materialize(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
+    classes = materialize(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes", n)
     heads = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.id), "left_semi")
-    members = heads.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    members = materialize(members.join(stars, "bucket"), "members")
-    wanted = materialize(members.select("id").distinct(), "wanted")
+    members = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket"))
+    stars = members.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    stars = stars.select("bucket", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"))
+    # Sets whose sizes differ too much can't be similar enough: no pair of them is made.
+    fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
+    members = materialize(members.join(stars, "bucket"), "members", n * bands)
+    m = members.count()
+    wanted = materialize(members.select("id").distinct(), "wanted", n)
     sets = materialize(hash_sets(only(docs, "doc_id", wanted, p.broadcast_ids), size), "sets")
-    tried = pairs = materialize(members.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = materialize(confirm(pairs, sets, p), "links")
+    tried = pairs = materialize(members.where((F.col("id") != F.col("centre")) & fits(F.col("size"), F.col("centre_size"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs", m)
+    # What confirms pairs stays as parallel as it is; its few results are dealt to fewer files.
+    links = materialize(confirm(pairs, sets, p).repartition(files_for(m)), "links")
     used = members.select("bucket", F.col("centre").alias("id")).distinct()
     labels = components(links)
     for _ in range(p.rounds):
-        now = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        now = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
         # A bucket is settled once the members that haven't been its centre lie in one component.
-        unused = materialize(now.join(used, ["bucket", "id"], "left_anti"), "unused")
+        unused = materialize(now.join(used, ["bucket", "id"], "left_anti"), "unused", m)
         spread = unused.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        sized = unused.join(spread, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        sized = unused.join(spread, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("m")).select("bucket", "component", "n", "m.id", "m.size")
         # The next centre is of a bucket's least component: it is the outlier that the larger ones haven't been compared with.
-        centres = sized.groupBy("bucket").agg(F.min(F.struct("n", F.xxhash64("bucket", "id"), "id", "component")).alias("c"))
-        centres = materialize(centres.select("bucket", F.col("c.id").alias("a"), F.col("c.component").alias("ca")), "centres")
+        centres = sized.groupBy("bucket").agg(F.min(F.struct("n", F.xxhash64("bucket", "id"), "id", "size", "component")).alias("c"))
+        centres = materialize(centres.select("bucket", F.col("c.id").alias("a"), F.col("c.size").alias("sa"), F.col("c.component").alias("ca")), "centres", m)
         if is_empty(centres):
             break
-        more = unused.join(centres, "bucket").where("component != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        ends = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "ends")
-        links = materialize(links.union(confirm(more, only(sets, "id", ends, p.broadcast_ids), p)), "links")
+        more = unused.join(centres, "bucket").where((F.col("component") != F.col("ca")) & fits(F.col("size"), F.col("sa"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs", m)
+        ends = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "ends", n)
+        links = materialize(links.union(confirm(more, only(sets, "id", ends, p.broadcast_ids), p)).repartition(files_for(m)), "links")
         labels = components(links)
         used = used.union(centres.select("bucket", F.col("a").alias("id")))
         tried = tried.union(more)
