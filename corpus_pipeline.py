@@ -25,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id."""
     p = neardup.NearDupParameters()
-    gone = materialize(neardup.near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "gone")
+    gone = materialize(neardup.near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "gone", docs.count())
     few = gone.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
