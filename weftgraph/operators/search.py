@@ -123,9 +123,16 @@ class Searcher:
         t = F.col(f"__t_{column}")
         if n.kind == "phrase":
             words = [w for w in re.split(r"[^\w]+", n.text.lower()) if w]
-            k = len(words)
-            starts = F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1)))
-            return F.size(F.filter(starts, lambda i: F.slice(t, i, F.lit(k)) == F.array(*[F.lit(w) for w in words])))
+            # Shifted copies side by side: a lambda that reached for the token array itself would compute it anew at each position.
+            shifted = F.arrays_zip(*[F.slice(t, F.lit(i + 1), F.size(t)).alias(f"w{i}") for i in range(len(words))])
+
+            def here(s: Column) -> Column:
+                out = F.lit(True)
+                for i, w in enumerate(words):
+                    out = out & s[f"w{i}"].eqNullSafe(F.lit(w))
+                return out
+
+            return F.size(F.filter(shifted, here))
         tests = {
             "term": lambda x: x == n.text,
             "prefix": lambda x: F.startswith(x, F.lit(n.text)),
