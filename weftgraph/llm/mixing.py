@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -92,13 +93,9 @@ class DomainModel:
         cache = {} if cache is None else cache
         if len(cache) > 300_000:
             cache.clear()
-        known: set[int] = set()
-        for raw in counts:
-            at = cache.get(raw)
-            if at is None:
-                at = cache[raw] = tuple(i for t in word_terms(raw) if (i := self.vocabulary.get(zlib.crc32(t.encode()))) is not None)
-            if at:
-                known.update(at)
+        for raw in [w for w in counts if w not in cache]:
+            cache[raw] = tuple(i for t in word_terms(raw) if (i := self.vocabulary.get(zlib.crc32(t.encode()))) is not None)
+        known = set(chain.from_iterable(map(cache.__getitem__, counts)))
         z = self.weights[sorted(known)].sum(axis=0) + np.asarray(shape(text, counts)) @ self.weights[len(self.vocabulary) :]
         z = np.exp(z - z.max())
         return (z / z.sum()).tolist()
