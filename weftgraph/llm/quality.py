@@ -19,6 +19,7 @@ from weftgraph.llm.common import map_rows, words
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
+SENTENCE_END = re.compile(r"[.!?] ")
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -27,6 +28,7 @@ class LineRules:
     """What the line rules and the final verdict compare with; every value is a production parameter."""
 
     terminal: str = ".!?:;\"')]}…”’»。！？"
+    paragraph_words: int = 20
     max_punctuation: float = 0.25
     separators: str = "|»›•·>"
     max_separators: int = 2
@@ -52,11 +54,15 @@ class Verdict:
 
 
 def line_failure(line: str, rules: LineRules) -> str | None:
-    """The first rule that a line with words fails: punctuation, navigation or boilerplate; None if it passes."""
+    """The first rule that a line with words fails: punctuation, navigation or boilerplate; None if it passes.
+
+    A line has to end a sentence, or be a paragraph that has ended one before it breaks off.
+    """
     bare = line.strip(SPACE)
     tokens = bare.encode().split()
     chars = len(bare) - sum(map(bare.count, SPACE))
-    if bare[-1] not in rules.terminal or len(PUNCTUATION.findall(bare)) > rules.max_punctuation * chars:
+    ended = bare[-1] in rules.terminal or (len(tokens) >= rules.paragraph_words and SENTENCE_END.search(bare))
+    if not ended or len(PUNCTUATION.findall(bare)) > rules.max_punctuation * chars:
         return "punctuation"
     if sum(map(bare.count, rules.separators)) >= rules.max_separators:
         return "navigation"

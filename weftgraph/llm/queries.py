@@ -80,7 +80,7 @@ marks AS (SELECT *, lower(bare) AS low, {WORDS.format(t="lower(bare)")} AS lw, r
     length(bare) - length(regexp_replace(bare, '[!-/:-@\[-`{{-~]', '', 'g')) AS punct,
     length(bare) - length(regexp_replace(bare, '[|»›•·>]', '', 'g')) AS seps FROM lines),
 named AS (SELECT *, len(list_filter(lw, lambda x: trim(x, '.,:;!?()[]') IN ({_NAV}))) AS navs FROM marks),
-failed AS (SELECT *, CASE WHEN NOT contains({_QUOTE(_RULES.terminal)}, right(bare, 1)) OR punct > {_RULES.max_punctuation} * chars THEN 'p'
+failed AS (SELECT *, CASE WHEN NOT (contains({_QUOTE(_RULES.terminal)}, right(bare, 1)) OR (len(lw) >= {_RULES.paragraph_words} AND regexp_matches(bare, '[.!?] '))) OR punct > {_RULES.max_punctuation} * chars THEN 'p'
     WHEN seps >= {_RULES.max_separators} OR (len(lw) <= {_RULES.nav_line_words} AND navs > 0 AND 2 * navs >= len(lw)) THEN 'n'
     WHEN {_PHRASES} THEN 'b' END AS why FROM named),
 bad AS (SELECT doc_id, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN why IS NOT NULL THEN chars ELSE 0 END) AS lost,
