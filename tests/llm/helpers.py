@@ -14,7 +14,7 @@ def awkward(spark, texts=None):
     near = base.replace(base.split()[50], "changed", 1)
     texts = texts or [None, "", " \t\n", "one", "one", base, base, near, long, "a b   c", "\n\n", "x " * 500]
     rows = [(i, t, "en", "s", len(t) if t is not None else None, "clash", i, 0.5) for i, t in enumerate(texts)]
-    rows.append(rows[5])
+    rows.append(rows[min(5, len(rows) - 1)])
     rows.append((None, None, None, None, None, None, None, None))
     return spark.createDataFrame(rows, SCHEMA)
 
