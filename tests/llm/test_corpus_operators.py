@@ -116,6 +116,20 @@ def test_large_group_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in out} == {0}
 
 
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_links_between_outliers_of_a_bucket_are_found(spark, chunk):
+    """One bucket for all (their common word has the least hash), where only the two of each later couple are linked."""
+    least = min((f"c{i}" for i in range(20_000)), key=lambda w: neardup.shingle_hashes(w, 1)[0])
+    texts = [(0, f"{least} " + " ".join(f"o{j}" for j in range(18)))]
+    for i in range(1, 9):
+        own = f"{least} " + " ".join(f"p{i}x{j}" for j in range(18))
+        texts += [(i, own), (100 + i, own + " more")]
+    p = neardup.NearDupParameters(shingle_words=1, rows=1, bands=1, chunk_sets=chunk)
+    assert len({k for _, t in texts for k in neardup.band_keys(neardup.shingle_hashes(t, 1), 1, 1)}) == 1
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), p).collect()}
+    assert got == brute_components(texts, 1) and all(got[100 + i][1] == i for i in range(1, 9))
+
+
 def test_band_keys_agree_with_similarity():
     rng = np.random.default_rng(1)
     p = neardup.NearDupParameters()

@@ -2,10 +2,10 @@
 
 A document's distinct word shingles are hashed once; the hash's top bits name a bin and each bin keeps its minimum.
 Empty bins borrow from a bin found by their own hash sequence (optimal densification). Bands of bins name buckets. In a
-bucket every member is compared with one centre only; links are confirmed on the full sets. Buckets whose members are still
-in different components get another centre in each further round, outliers first. A round makes at most a pair a member
-and bucket, so pairs never grow with the square of a group. A link is lost only if its ends share no bucket, or if in every
-bucket they share no centre is linked with both; README.md gives measured recall.
+bucket every member is first compared with one centre; links are confirmed on the full sets. In buckets whose members are
+then still in different components, every two members of different components are compared, in blocks of bounded size that
+hold the sets and count shared hashes for one set against all others at once. So a link is lost only if its ends share no
+bucket. The rows dealt to blocks grow with a bucket's outliers times its size in chunks; README.md gives measured figures.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with fewer words
 than a shingle is one shingle; repeated rows and rows with one id share a component (the smallest id); a row with a null
@@ -30,14 +30,16 @@ from weftgraph.llm.common import SLICE_ROWS, discard, emit, files_for, map_rows,
 class NearDupParameters:
     """A link of similarity s shares a bucket with probability 1 - (1 - s^rows)^bands: 0.99999 at 0.8.
 
-    ``rounds`` are star rounds after the first. Up to broadcast_ids ids (8 bytes each) are sent to all executors to filter a scan; more are joined by shuffling.
+    A block holds two chunks of about ``chunk_sets`` sets or ``chunk_bytes`` bytes, whichever is less. Up to broadcast_ids ids (8 bytes each)
+    are sent to all executors to filter a scan; more are joined by shuffling.
     """
 
     shingle_words: int = 5
     percent: int = 80
     rows: int = 8
     bands: int = 64
-    rounds: int = 1
+    chunk_sets: int = 512
+    chunk_bytes: int = 8 << 20
     broadcast_ids: int = 1_000_000
 
 
@@ -155,6 +157,87 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFram
     return small_batches(grouped.select("a", "b", "salt", "hashes")).mapInArrow(run, "a long, b long")
 
 
+def block_links(ids: list[int], labels: list[int], chunks: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a block's members: every two of different components (and, in a block of two chunks,
+    of different chunks) are compared, unless links found before have joined them."""
+    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+    ids, chunk, sets = [ids[i] for i in order], np.array([chunks[i] for i in order]), [sets[i] for i in order]
+    label = np.unique(np.array([labels[i] for i in order]), return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    starts = ends - size
+    hashes, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(hashes), bool)
+    across = chunk[0] != chunk[-1] or (chunk != chunk[0]).any()
+    # Pairs within the largest component need no comparison, so its members needn't be gone through.
+    rest = np.flatnonzero(label != np.bincount(label).argmax())
+    out = []
+    for y in rest.tolist():
+        n = int(size[y])
+        lo, hi = np.searchsorted(size, -(-n * percent // 100)), np.searchsorted(size, n * 100 // percent, "right")
+        other = label[lo:hi] != label[y]
+        if across:
+            other &= chunk[lo:hi] != chunk[y]
+        if not other.any():
+            continue
+        mark[flat[starts[y] : ends[y]]] = True
+        both = np.add.reduceat(mark[flat[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        mark[flat[starts[y] : ends[y]]] = False
+        for x in (lo + np.flatnonzero(other & (100 * both >= percent * (n + size[lo:hi] - both)))).tolist():
+            if label[x] != label[y]:
+                out.append((ids[x], ids[y]))
+                label[label == label[x]] = label[y]
+    return out
+
+
+def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDupParameters, most: int) -> DataFrame:
+    """Links between members of one bucket and different components, found by comparing all of them in blocks.
+
+    The bucket's largest component is dealt only to blocks with the others, which are dealt to blocks with all.
+    """
+    left = members.where("id != centre").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
+    left = materialize(left, "left", most)
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big")).where("big.n < n").select("bucket", F.col("big.component").alias("big"))
+    mixed = left.join(whole, "bucket")
+    # Of buckets with the same members, one is enough; their names are 128 bits of hashes of the ids.
+    name = [F.sum(F.xxhash64(F.lit(seed), "id").cast("decimal(20,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    load = lambda own: F.sum(F.when(own, F.col("size").cast("long") * 8).otherwise(0))
+    count = lambda own: F.sum(F.when(own, 1).otherwise(0))
+    chunks = lambda own: F.ceil(F.greatest(count(own) / p.chunk_sets, load(own) / p.chunk_bytes)).cast("int")
+    big = F.col("component") == F.col("big")
+    told = mixed.groupBy("bucket").agg(F.count("*").alias("n"), *name, chunks(~big).alias("k_rest"), chunks(big).alias("k_big"))
+    told = told.groupBy("n", "h1", "h2").agg(F.min(F.struct("bucket", "k_rest", "k_big")).alias("b")).select("b.*")
+    spread = lambda k: F.pmod(F.xxhash64(F.lit(3), "id"), k).cast("int")
+    dealt = mixed.join(told, "bucket").withColumn("chunk", F.when(big, F.col("k_rest") + spread(F.col("k_big"))).otherwise(spread(F.col("k_rest"))))
+    last = F.when(big, F.col("k_rest")).otherwise(F.col("k_rest") + F.col("k_big")) - 1
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    dealt = materialize(dealt.select("bucket", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "chunk", "component", "id"), "dealt")
+    held = dealt.join(only(sets, "id", dealt.select("id").distinct(), p.broadcast_ids), "id")
+    held = held.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    percent = p.percent
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, ([], [], [], [])
+        for batch in batches:
+            out = []
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                for bucket, lo, hi, chunk, component, i, raw in zip(*(c.to_pylist() for c in batch.slice(begin, SLICE_ROWS).columns), strict=True):
+                    if (bucket, lo, hi) != at:
+                        if len(block[0]) > 1:
+                            out += block_links(*block, percent)
+                        at, block = (bucket, lo, hi), ([], [], [], [])
+                    for column, value in zip(block, (i, component, chunk, np.frombuffer(raw, np.uint64)), strict=True):
+                        column.append(value)
+            if out:
+                yield emit(out, arrow)
+        if len(block[0]) > 1 and (out := block_links(*block, percent)):
+            yield emit(out, arrow)
+
+    return small_batches(held.select("bucket", "lo", "hi", "chunk", "component", "id", "hashes")).mapInArrow(run, "a long, b long")
+
+
 def only(df: DataFrame, key: str, ids: DataFrame, most: int) -> DataFrame:
     """Rows of df whose key is among distinct ids, which are broadcast if there are at most ``most`` of them."""
     few = ids.limit(most + 1).count() <= most
@@ -193,30 +276,14 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     m = members.count()
     wanted = materialize(members.select("id").distinct(), "wanted", n)
     sets = materialize(hash_sets(only(docs, "doc_id", wanted, p.broadcast_ids), size), "sets")
-    tried = pairs = materialize(members.where((F.col("id") != F.col("centre")) & fits(F.col("size"), F.col("centre_size"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs", m)
+    pairs = members.where((F.col("id") != F.col("centre")) & fits(F.col("size"), F.col("centre_size"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs", m)
     # What confirms pairs stays as parallel as it is; its few results are dealt to fewer files.
     links = materialize(confirm(pairs, sets, p).repartition(files_for(m)), "links")
-    used = members.select("bucket", F.col("centre").alias("id")).distinct()
     labels = components(links)
-    for _ in range(p.rounds):
-        now = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("component"))
-        # A bucket is settled once the members that haven't been its centre lie in one component.
-        unused = materialize(now.join(used, ["bucket", "id"], "left_anti"), "unused", m)
-        spread = unused.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        sized = unused.join(spread, "bucket", "left_semi").groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("m")).select("bucket", "component", "n", "m.id", "m.size")
-        # The next centre is of a bucket's least component: it is the outlier that the larger ones haven't been compared with.
-        centres = sized.groupBy("bucket").agg(F.min(F.struct("n", F.xxhash64("bucket", "id"), "id", "size", "component")).alias("c"))
-        centres = materialize(centres.select("bucket", F.col("c.id").alias("a"), F.col("c.size").alias("sa"), F.col("c.component").alias("ca")), "centres", m)
-        if is_empty(centres):
-            break
-        more = unused.join(centres, "bucket").where((F.col("component") != F.col("ca")) & fits(F.col("size"), F.col("sa"))).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs", m)
-        ends = materialize(more.select(F.col("a").alias("id")).union(more.select("b")).distinct(), "ends", n)
-        links = materialize(links.union(confirm(more, only(sets, "id", ends, p.broadcast_ids), p)).repartition(files_for(m)), "links")
-        labels = components(links)
-        used = used.union(centres.select("bucket", F.col("a").alias("id")))
-        tried = tried.union(more)
-        discard(unused)
+    more = materialize(open_pairs(members, labels, sets, p, m).repartition(files_for(m)), "links")
+    if not is_empty(more):
+        labels = components(links.union(more))
     heads = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
