@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 from tests.llm.helpers import awkward, documents, empty
-from weftgraph.llm import language, packing, quality, secrets, warc
+from weftgraph.llm import language, packing, quality, queries, secrets, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -168,6 +168,25 @@ def test_packing_is_an_exact_cover(spark):
         assert at == 2048 or at & (at - 1) == 0
 
 
+def test_packing_query_has_the_ids_of_the_tokenizer_as_loaded(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endof", " <|endoftext|>  z", "plain", "", None]
+    documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert ids[0] == [64, 220, 50256, 275, 1]
+    pieces = {}
+    for r in queries.op8_packing(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert set(pieces) == set(ids)
+    for i, held in pieces.items():
+        crc = lambda a, n, i=i: zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[i][a : a + n]))
+        assert all(t == len(ids[i]) and c == crc(a, n) for a, n, c, t in held) and sum(n for _, n, _, _ in held) == len(ids[i])
+
+
 def test_packing_places_by_sum_of_squares():
     p, rng = packing.Packer(16), random.Random(2)
     for n in range(400):

@@ -13,6 +13,7 @@ empty table; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -35,13 +36,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """A byte-level BPE encoder; strings of special tokens in a text are ordinary text."""
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the .json file beside a .tiktoken file, which is loaded without them."""
+    return {t["content"]: t["id"] for t in json.loads(Path(path).with_suffix(".json").read_text())["added_tokens"]}
+
+
+def encoder(path: str, special: dict[str, int] | None = None):
+    """A byte-level BPE encoder; strings of ``special`` in a text are those tokens, any others are ordinary text."""
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special or {})
 
 
 class Packer:
@@ -104,14 +110,18 @@ class Packer:
             yield taken
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, added: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
+
+    With ``added``, ids are those of the .json tokenizer as loaded: the string of an added token in a text is that token.
+    """
     path = tokenizer or vocabulary()
+    special = added_tokens(path) if added else {}
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     arrow = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, rows = encoder(path), Packer(length), []
+        encode, packer, rows = encoder(path, special), Packer(length), []
         name = TaskContext.get().partitionId() << 36
 
         def close(held: list) -> None:
@@ -125,7 +135,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) ->
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(begin, SLICE_ROWS).columns), strict=True):
-                    ids = np.append(encode.encode_to_numpy(text or "", disallowed_special=()), END_ID).astype(np.uint32)
+                    ids = np.append(encode.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()), END_ID).astype(np.uint32)
                     for start in range(0, len(ids), length):
                         piece = (doc_id, start, ids[start : start + length].copy(), len(ids))
                         if len(piece[2]) == length:
