@@ -36,7 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as their fitted rate, rounded, says; the toxic domain's target is nothing."""
+    """Documents as many times as their fitted rate says, its fraction drawn by a hash of the id; the toxic domain's target is nothing."""
     return mixing.apply(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

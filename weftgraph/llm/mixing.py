@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import map_rows, materialize
@@ -239,14 +239,26 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
 STEPS_A_TABLE = 6
 
 
+def drawn(rate: str, key: str) -> Column:
+    """The whole part of a rate, plus one if a hash of the key, mapped to 0 up to 1, lies below its fraction."""
+    point = F.shiftrightunsigned(F.xxhash64(F.lit(6), key), 11) * 2.0**-53
+    return (F.floor(rate) + (point < F.col(rate) - F.floor(rate)).cast("long")).cast("long")
+
+
 def mix(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParameters()) -> DataFrame:
-    """doc_id, tokens, posterior, domain, rate and copies (the rate rounded to a whole number) of every row."""
+    """doc_id, tokens, posterior, domain, rate and copies of every row.
+
+    Copies are the whole part of the rate, and one more for the share of ids that its fraction says (see drawn): their
+    expectation is the rate, whatever rates a domain's documents have. As no wanted domain has to shrink, a document that is
+    likeliest of one has a copy at least.
+    """
     model = fit_domains(docs, labels, p)
     soft = materialize(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), "soft")
     rated, _, _ = fit_rates(soft, model.domains, p)
     names = F.array(*[F.lit(d) for d in model.domains])
     best = names[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
-    return rated.select("doc_id", "tokens", "posterior", best.alias("domain"), "rate", F.floor(F.col("rate") + 0.5).cast("long").alias("copies"))
+    wanted = best.isin([d for d in model.domains if p.weights.get(d, 0.0) > 0]) & (F.col("rate") > 0)
+    return rated.select("doc_id", "tokens", "posterior", best.alias("domain"), "rate", F.greatest(drawn("rate", "doc_id"), F.when(wanted, 1).otherwise(0).cast("long")).alias("copies"))
 
 
 def apply(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParameters(), broadcast_ids: int = 1_000_000) -> DataFrame:
