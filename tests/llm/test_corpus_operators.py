@@ -18,31 +18,68 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # -- fingerprints
 def brute_sketch(text):
+    """Number of shingles, retained hashes in order, and the hash up to which none is left out."""
     w = WORD.findall(text or "")
     s = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
-    return len(s), {hashlib.md5(x.encode()).hexdigest()[:16] for x in s if hashlib.md5(x.encode()).hexdigest() < "2"}
+    every = sorted(hashlib.md5(x.encode()).hexdigest()[:16] for x in s)
+    kept = [h for i, h in enumerate(every) if h < "2" or i < 64]
+    return len(s), kept, "g" if kept == every else max(kept[-1], "2")
+
+
+def brute_likeness(one, two):
+    (n, s, x), (m, t, y) = brute_sketch(one), brute_sketch(two)
+    if not n or not m:
+        return float(n == m)
+    s, t = ({h for h in hashes if h <= min(x, y)} for hashes in (s, t))
+    return len(s & t) / min(len(s), len(t)) if s and t else 0.0
 
 
 def test_fingerprints_match_brute_force(spark):
-    pairs = corpus(90)
+    pairs = [*corpus(90), (200, "hi"), (201, "hi"), (202, ""), (203, ""), (204, "a b c"), (205, None)]
     random.Random(4).shuffle(pairs)
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(documents(spark, pairs).repartition(3)).collect()}
-    pairs.sort()
+    pairs = sorted((i, t or "") for i, t in pairs)
     for (i, text), (_, following) in zip(pairs, [*pairs[1:], pairs[0]], strict=True):
         r, k = got[i], len(text) // 4
         new = text[: len(text) - k] + following[:k]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        n, s = brute_sketch(text)
-        assert r.fingerprint == f"{n}:" + "".join(sorted(s))
-        for other, value in ((new, r.near_edited), (following, r.near_next)):
-            m, t = brute_sketch(other)
-            want = 1.0 if not n and not m else len(s & t) / min(len(s), len(t)) if s and t else 0.0
-            assert value == pytest.approx(want)
+        n, s, _ = brute_sketch(text)
+        assert r.fingerprint == f"{n}:" + "".join(s)
+        assert r.near_edited == pytest.approx(brute_likeness(text, new)) and r.near_next == pytest.approx(brute_likeness(text, following))
+        assert fingerprint.likeness(r.fingerprint, r.edited_fingerprint) == r.near_edited
+    assert got[200].near_next == got[202].near_next == got[200].near_edited == 1.0 and got[203].near_next == 0.0
+
+
+def test_short_texts_are_resolved():
+    """Equal texts are alike whatever their length, and different short texts have different fingerprints."""
+    rng, seen = random.Random(6), set()
+    for _ in range(400):
+        text = " ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(1, 11)))
+        parts = fingerprint.shingles(text)
+        s = fingerprint.sketch(parts)
+        assert fingerprint.containment(s, len(parts), s, len(parts)) == 1.0
+        seen.add(fingerprint.encode(s, len(parts)))
+    assert len(seen) == 400
+
+
+def test_rows_of_one_id_are_split_into_ranges(spark):
+    pairs = [(7, f"text {i}") for i in range(400)] + [(i, f"other {i}") for i in range(100, 300)] + [(None, f"none {i}") for i in range(200)]
+    df = documents(spark, pairs)
+    out = fingerprint.with_next(df, range_rows=50).collect()
+    rows = [r for r in out if not r.tail]
+    assert len(rows) == 800 and max(Counter(r.bucket for r in rows).values()) < 130
+    firsts = {b: min((r for r in rows if r.bucket == b), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.hash)) for b in {r.bucket for r in rows}}
+    order = sorted(firsts)
+    for r in out:
+        if r.tail:
+            after = firsts[order[(order.index(r.bucket) + 1) % len(order)]]
+            assert (r.doc_id, r.hash, r.text) == (after.doc_id, after.hash, after.text)
+    assert len(fingerprint.fingerprint_documents(df).collect()) == 800
 
 
 def test_fingerprint_ranges_are_seamless(spark):
     df = documents(spark, [(i * 3, f"text number {i}") for i in range(500)])
-    out = fingerprint.with_next(df, rows_per_bucket=37).collect()
+    out = fingerprint.with_next(df, range_rows=37).collect()
     assert sum(not r.tail for r in out) == 500
     by = defaultdict(list)
     for r in out:

@@ -44,7 +44,7 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), added=True)
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,18 @@ _SKETCH = """
 {n}_w AS (SELECT doc_id, {words} AS w FROM e),
 {n}_s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM {n}_w),
-{n} AS (SELECT doc_id, len(s) AS n, list_sort(list_filter(list_distinct(list_transform(s, lambda x: md5(x)[1:16])), lambda x: x < '2')) AS h FROM {n}_s)"""
+{n}_h AS (SELECT doc_id, len(s) AS n, list_sort(list_distinct(list_transform(s, lambda x: md5(x)[1:16]))) AS h FROM {n}_s),
+{n}_k AS (SELECT doc_id, n, h[1 : greatest(64, len(list_filter(h, lambda x: x < '2')))] AS h FROM {n}_h),
+{n} AS (SELECT doc_id, n, h, CASE WHEN len(h) = n THEN 'g' ELSE greatest(list_last(h), '2') END AS upto FROM {n}_k)"""
+
+_LIKE = """CASE WHEN {a}.n = 0 OR {b}.n = 0 THEN ({a}.n = {b}.n)::INT ELSE coalesce(len(list_intersect({x}, {y}))::DOUBLE / nullif(least(len({x}), len({y})), 0), 0) END::DOUBLE"""
+
+
+def _like(a: str, b: str) -> str:
+    """SQL for the likeness of two sketches, of the hashes up to the lower of their bounds."""
+    part = f"list_filter({{}}.h, lambda x: x <= least({a}.upto, {b}.upto))"
+    return _LIKE.format(a=a, b=b, x=part.format(a), y=part.format(b))
+
 
 OP2 = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -112,8 +123,8 @@ e AS (SELECT *, left(text, n_chars - n_chars // 4) || left(nxt, n_chars // 4) AS
 {_SKETCH.format(n="b", words=WORDS.format(t="edited"))}
 SELECT e.doc_id, n_chars::BIGINT AS n_chars, a.n::BIGINT AS n_shingles, sha256(edited) AS edited_sha256,
     a.n || ':' || array_to_string(a.h, '') AS fingerprint, b.n || ':' || array_to_string(b.h, '') AS edited_fingerprint,
-    CASE WHEN a.n = 0 AND b.n = 0 THEN 1.0 WHEN len(a.h) = 0 OR len(b.h) = 0 THEN 0.0 ELSE len(list_intersect(a.h, b.h))::DOUBLE / least(len(a.h), len(b.h)) END::DOUBLE AS near_edited,
-    CASE WHEN a.n = 0 AND c.n = 0 THEN 1.0 WHEN len(a.h) = 0 OR len(c.h) = 0 THEN 0.0 ELSE len(list_intersect(a.h, c.h))::DOUBLE / least(len(a.h), len(c.h)) END::DOUBLE AS near_next
+    {_like("a", "b")} AS near_edited,
+    {_like("a", "c")} AS near_next
 FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN a AS c ON c.doc_id = e.nxt_id
 """
 
