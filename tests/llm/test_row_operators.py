@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -74,6 +75,66 @@ def test_language_backs_off_and_holds_out(spark):
     assert language.identify(empty(spark), model).count() == 0
 
 
+def brute_language(train, text, unseen=0.2, sharpness=12.0):
+    """The method from its definition: words, then n-grams of falling length, by log frequency."""
+    strip = language.STRIP
+    clean = lambda t: [w for x in t.lower().split() if (w := x.strip(strip)) and any(c.isalpha() for c in w)]
+    pieces = lambda w, k: [w] if k == 0 else [f"\x02{w}\x02"[i : i + k] for i in range(len(w) + 3 - k)]
+    counts = {}
+    for lang, t in train:
+        for w in clean(t):
+            for k in range(6):
+                for g in pieces(w, k):
+                    counts.setdefault((lang, k), Counter())[g] += 1
+    langs = sorted({lang for lang, _ in train})
+    total = {x: sum(c.values()) for x, c in counts.items()}
+
+    def score(lang, k, g):
+        return math.log(unseen / total.get((lang, k), 1)) + math.log1p(counts.get((lang, k), {}).get(g, 0) / unseen)
+
+    sums, n = dict.fromkeys(langs, 0.0), 0
+    for w in clean(text or ""):
+        for k in (0, 5, 4, 3, 2, 1):
+            known = [g for g in pieces(w, k) if any(g in counts.get((x, k), {}) for x in langs)]
+            if known:
+                own = {x: sum(score(x, k, g) for g in known) / len(known) for x in langs}
+                top, n = max(own.values()), n + 1
+                for x in langs:
+                    sums[x] += own[x] - top
+                break
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    if not n:
+        best = max(langs, key=lambda x: (sum(lang == x for lang, _ in train), x))
+        return best, sum(lang == best for lang, _ in train) / len(train)
+    best = max(langs, key=sums.get)
+    return best, 1 / sum(math.exp((sums[x] - sums[best]) * min(1, sharpness / n)) for x in langs)
+
+
+def test_language_matches_brute_force(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": "abcdef", "bb": "cdefgh", "cc": "efghij"}
+    make = lambda lang: " ".join("".join(rng.choices(alphabets[lang], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 30)))
+    train = [(x, make(x)) for x in rng.choices(["aa", "bb", "cc"], [6, 3, 1], k=80)]
+    texts = [make(x) for x in "aa bb cc".split() * 12] + ["ЖЖЖ ццц", "12 34 !?", "", None, "abc. (abc) ABC", "xyzzy abcdefgh", "§§ ª", "ab " * 5000]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language.fit(spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string"))
+    for r in language.identify(held, model).collect():
+        lang, score = brute_language(train, texts[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-4)), texts[r.doc_id]
+
+
+def test_small_languages_keep_their_share(spark):
+    """A language of few rows keeps as many of its words as one of many; totals count what the cut leaves out."""
+    rows = [(i, " ".join(f"big{j}x" for j in range(i, i + 40)), "aa") for i in range(60)] + [(900, "tiny words only", "zz")]
+    p = language.LanguageParameters(words=30, grams=30)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+    assert {"tiny", "words", "only"} <= set(model.table[0]) and len(model.table[0]) == 33
+    assert language.Scorer(model).predict("tiny words")[0] == "zz"
+    i = model.languages.index("aa")
+    assert model.scores[model.table[0]["tiny"]][i] == pytest.approx(math.log(0.2 / 2400), rel=1e-5)
+
+
 def test_language_awkward_rows(spark):
     df = awkward(spark)
     model = language.fit(df)
@@ -83,6 +144,7 @@ def test_language_awkward_rows(spark):
     nothing = language.fit(empty(spark))
     assert {(r.lang_pred, r.score) for r in language.identify(df, nothing).collect()} == {("und", 0.0)}
     assert language.select_known(df, model, 0.5).columns == df.columns
+    assert language.select_known(empty(spark), model, 0.5).count() == 0
 
 
 def brute_base(text):
@@ -137,14 +199,13 @@ def test_secret_masking_keeps_columns(spark):
 
 
 def test_packing_is_an_exact_cover(spark):
-    texts = ["", "hello world", "the quick brown fox " * 900, "<|endoftext|> stays text", "ünï 🙂"] + [f"piece {i} " * (i * 7 % 90) for i in range(120)]
+    texts = ["", "hello world", "the quick brown fox " * 900, "<|endoftext|> is one id", "ünï 🙂"] + [f"piece {i} " * (i * 7 % 90) for i in range(120)]
     df = documents(spark, list(enumerate(texts))).repartition(3)
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack(df).collect()
     ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     by_doc, by_seq = {}, {}

@@ -1,21 +1,22 @@
 """Operator 5, language ID: word-first backoff.
 
 A word seen in training scores every language by the word's log frequency there. An unseen word falls back to its
-character n-grams, longest first: the first length of which some n-gram is known scores the word.
+character n-grams, longest first: the first length of which some n-gram is known scores the word. A text of which nothing
+is known gets the language of most training rows, its share there as score.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; with no training rows everything is ``und``;
-repeated rows get equal results; an empty table gives an empty table; other columns are not read in prediction.
+repeated rows get equal results; an empty table gives an empty table; a very long text is scored whole, with a number a
+word in memory; other columns are not read in prediction, and of training rows with a null lang or text nothing is learned.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import flat_map_rows, map_batches, map_rows
@@ -27,10 +28,15 @@ STRIP = ".,;:!?\"'()[]{}<>«»„“”‘’¿¡*#%&$|/\\+=~_-"
 
 @dataclass(frozen=True)
 class LanguageParameters:
-    """docs_per_language bounds the training sample, model_size the grams that are kept (most frequent first)."""
+    """docs_per_language bounds the training sample. Of each language, its most frequent words and n-grams of each length are kept.
+
+    With so many languages that those are more than ``model_rows`` in all, every language and length keeps an equal smaller share.
+    """
 
     docs_per_language: int = 1500
-    model_size: int = 200_000
+    words: int = 20_000
+    grams: int = 8_000
+    model_rows: int = 500_000
     longest: int = 5
     unseen: float = 0.2
     sharpness: float = 12.0
@@ -54,12 +60,12 @@ def grams(word: str, size: int) -> list[str]:
 class LanguageModel:
     """Log frequencies by language of words (length 0) and of character n-grams of each length."""
 
-    def __init__(self, grams: pa.Table | None = None, p: LanguageParameters = LanguageParameters()):
-        """``grams`` has the columns lang, kind, gram and n, one row a gram and language."""
-        self.p = p
-        columns = [grams[c] for c in ("lang", "kind", "gram", "n")] if grams is not None else [[]] * 4
-        langs, kinds, names, counts = (c if isinstance(c, list) else c.to_pylist() for c in columns)
-        self.languages = sorted(set(langs))
+    def __init__(self, grams: pa.Table | None = None, priors: dict[str, int] | None = None, p: LanguageParameters = LanguageParameters()):
+        """``grams`` has the columns lang, kind, gram, n and total (that of the language and kind); priors count training rows."""
+        self.p, self.priors = p, priors or {}
+        columns = [grams[c].to_pylist() for c in ("lang", "kind", "gram", "n", "total")] if grams is not None else [[]] * 5
+        langs, kinds, names, counts, sums = columns
+        self.languages = sorted(self.priors)
         place = {x: i for i, x in enumerate(self.languages)}
         self.table: list[dict[str, int]] = [{} for _ in range(p.longest + 1)]
         rows = [self.table[k].setdefault(g, sum(map(len, self.table))) for k, g in zip(kinds, names, strict=True)]
@@ -68,12 +74,12 @@ class LanguageModel:
         have[rows, where] = counts
         kind_of = np.zeros(len(have), np.int64)
         kind_of[rows] = kinds
-        totals = np.zeros((p.longest + 1, len(place)))
-        np.add.at(totals, (kinds, where), counts)
-        floor = np.log(p.unseen / np.maximum(1, totals))
+        totals = np.ones((p.longest + 1, len(place)))
+        totals[kinds, where] = sums
+        floor = np.log(p.unseen / totals)
         self.scores = (floor[kind_of] + np.log1p(have / p.unseen)).astype(np.float32)
 
-    def word(self, w: str) -> list[float] | None:
+    def word(self, w: str) -> np.ndarray | None:
         """Scores by language relative to the best one; None if nothing of the word is known."""
         at = self.table[WORD].get(w)
         if at is not None:
@@ -86,38 +92,66 @@ class LanguageModel:
                     break
             else:
                 return None
-        return (found - found.max()).tolist()
+        return found - found.max()
+
+
+class Scorer(dict):
+    """Words as they stand in a text, by the row of a matrix that holds their scores; row 0 is of words that tell nothing."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+        self.matrix = np.zeros((1024, len(model.languages) + 1))
+        self.used = 1
 
-    def predict(self, counts: Counter, cache: dict | None = None) -> tuple[str, float]:
+    def __missing__(self, raw: str) -> int:
+        w = raw.strip(STRIP)
+        scores = self.model.word(w) if w and any(map(str.isalpha, w)) else None
+        at = 0
+        if scores is not None:
+            at, self.used = self.used, self.used + 1
+            if at == len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[at, :-1], self.matrix[at, -1] = scores, 1
+        self[raw] = at
+        return at
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most likelihood, and its posterior with evidence of at most ``sharpness`` words."""
-        if not self.languages or not counts:
-            return "und", 0.0
-        cache = {} if cache is None else cache
-        if len(cache) > 300_000:
-            cache.clear()
-        totals, n = [0.0] * len(self.languages), 0
-        for w, c in counts.items():
-            if w not in cache:
-                cache[w] = self.word(w)
-            s = cache[w]
-            if s is not None:
-                n += c
-                for i, x in enumerate(s):
-                    totals[i] += c * x
+        model = self.model
+        if not text or not model.languages:
+            return UNKNOWN
+        if self.used > MOST_HELD or len(self) > 2 * MOST_HELD:
+            self.clear()
+            self.used = 1
+        tokens = text.lower().split()
+        rows, times = np.unique(np.fromiter(map(self.__getitem__, tokens), np.intp, len(tokens)), return_counts=True)
+        totals = times @ self.matrix[rows]
+        n = totals[-1]
         if not n:
-            return "und", 0.0
-        scale = min(1.0, self.p.sharpness / n)
-        top = max(totals)
-        best = totals.index(top)
-        return self.languages[best], 1.0 / sum(math.exp(scale * (x - top)) for x in totals)
+            if not any(map(str.isalpha, text)):
+                return UNKNOWN
+            best = max(model.languages, key=lambda x: (model.priors[x], x))
+            return best, model.priors[best] / sum(model.priors.values())
+        best = int(totals[:-1].argmax())
+        apart = (totals[:-1] - totals[best]) * min(1.0, model.p.sharpness / n)
+        return model.languages[best], 1.0 / float(np.exp(apart).sum())
+
+
+UNKNOWN = ("und", 0.0)
+#: Words that a task remembers the scores of.
+MOST_HELD = 300_000
 
 
 def fit(train: DataFrame, p: LanguageParameters = LanguageParameters()) -> LanguageModel:
-    """Learn from (doc_id, text, lang) rows: about ``docs_per_language`` of each language, chosen by a hash of doc_id."""
+    """Learn from (doc_id, text, lang) rows: about ``docs_per_language`` of each language, chosen by a hash of doc_id.
+
+    One row a language reaches the driver, and the model.
+    """
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
+    sizes = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
-        return LanguageModel(None, p)
+        return LanguageModel(None, None, p)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, p.docs_per_language / n))])
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_003)) / 1_000_003
     sample = train.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)))
@@ -136,17 +170,21 @@ def fit(train: DataFrame, p: LanguageParameters = LanguageParameters()) -> Langu
         return count
 
     counted = flat_map_rows(sample.select("lang", "text"), make, "lang string, kind int, gram string, n long")
-    top = counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "gram", "lang").limit(p.model_size)
-    return LanguageModel(top.toArrow(), p)
+    counted = counted.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    part = min(1.0, p.model_rows / (len(sizes) * (p.words + longest * p.grams)))
+    most = F.when(F.col("kind") == WORD, max(1, int(p.words * part))).otherwise(max(1, int(p.grams * part)))
+    own = Window.partitionBy("lang", "kind")
+    ranked = counted.withColumn("total", F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "gram")))
+    return LanguageModel(ranked.where(F.col("rank") <= most).drop("rank").toArrow(), sizes, p)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # model_size bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # model_rows bounds it
 
     def make():
-        known, cache = shared.value, {}
-        return lambda doc_id, text: (doc_id, *known.predict(word_counts(text), cache))
+        scorer = Scorer(shared.value)
+        return lambda doc_id, text: (doc_id, *scorer.predict(text))
 
     return map_rows(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
 
@@ -161,10 +199,10 @@ def select_known(docs: DataFrame, model: LanguageModel, least: float) -> DataFra
     text = docs.columns.index("text")
 
     def make():
-        known, cache = shared.value, {}
+        scorer = Scorer(shared.value)
 
         def keep(batch):
-            found = (known.predict(word_counts(t), cache) for t in batch.column(text).to_pylist())
+            found = map(scorer.predict, batch.column(text).to_pylist())
             return batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
         return keep

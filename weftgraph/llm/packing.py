@@ -7,7 +7,8 @@ sequence that is left is cut at powers of two, which need no padding.
 
 Tasks pack on their own, without exchanging text; a sequence's id holds the task's number and a counter.
 Cases: a null text is empty and is packed as its end token; repeated rows are packed like any; an empty table gives an
-empty table; other columns are not read.
+empty table; a very long text is cut like any, its ids held whole; the order of rows in their partitions decides
+sequences, so ids of sequences depend on how the input is split; other columns are not read.
 """
 
 from __future__ import annotations
@@ -110,13 +111,13 @@ class Packer:
             yield taken
 
 
-def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece.
 
-    With ``added``, ids are those of the .json tokenizer as loaded: the string of an added token in a text is that token.
+    Ids are those of the .json tokenizer as loaded: the string of an added token in a text is that token.
     """
     path = tokenizer or vocabulary()
-    special = added_tokens(path) if added else {}
+    special = added_tokens(path)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     arrow = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")])
 
