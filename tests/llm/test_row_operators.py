@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -180,14 +181,94 @@ def found(text):
     return [v for _, _, v, _ in secrets.literals(text)]
 
 
-def test_secret_lexing_follows_assignments():
-    assert found('db_password = "tr0ub4dor&3xy"') == ["tr0ub4dor&3xy"]
-    assert found('{"clientSecret": "q9WfA71zLmP0"}') == ["q9WfA71zLmP0"]
-    assert found('x = "q9WfA71zLmP0"\nname = "q9WfA71zLmP0"') == []
-    assert found('x = "q9WfA71zLmP0"\nAPI_KEY = x') == ["q9WfA71zLmP0"]
-    assert found('private_key = "q9WfA7" + "1zLmP0"') == ["q9WfA7", "1zLmP0"]
-    assert found('password = "changeme"\ntoken = "${TOKEN_FROM_ENV}"') == []
-    assert found("He said: the secret of this = that was old.") == []
+S = "q9WfA71zLmP0"
+#: Texts whose literals reach a sensitive name, and those literals.
+LEXED = [
+    ('db_password = "tr0ub4dor&3xy"', ["tr0ub4dor&3xy"]),
+    ('{"clientSecret": "q9WfA71zLmP0"}', [S]),
+    ('x = "q9WfA71zLmP0"\nAPI_KEY = x', [S]),
+    ('API_KEY = x\nx = "q9WfA71zLmP0"', [S]),  # defined after its use
+    ('a = "q9WfA71zLmP0"\nb = a\nc = b\nclient_secret = c', [S]),
+    ('private_key = "q9WfA7" + "1zLmP0"', ["q9WfA7", "1zLmP0"]),
+    ('client_secret = (\n "q9WfA7"\n "1zLmP0")', ["q9WfA7", "1zLmP0"]),
+    ("$pwd = 'q9WfA7' . '1zLmP0';", ["q9WfA7", "1zLmP0"]),
+    ('const clientPwd: string = "q9WfA71zLmP0";', [S]),
+    ('password: str = "q9WfA71zLmP0"', [S]),
+    ('api_key = f("q9WfA71zLmP0")', [S]),
+    ('setPwd("q9WfA71zLmP0")', [S]),
+    ('connect(user="bob", pwd="q9WfA71zLmP0", host="h")', [S]),
+    ('password = os.getenv("DB_PASSWORD") or "fallB4ck99x"', ["fallB4ck99x"]),
+    ('password = getenv("db.pass1word", "fallB4ck99x")', ["fallB4ck99x"]),
+    ('client_secret = f"q9WfA71zLmP0"', [S]),
+    ("clientSecret = `q9WfA71zLmP0`", [S]),
+    ('PRIVATE_KEY = """-----BEGIN\nMIIEvQIBADANBg\n-----END"""', ["-----BEGIN\nMIIEvQIBADANBg\n-----END"]),
+    ("private_key: |\n  MIIEvQIBADANBg\n  kqhkiG9w0BAQ\nother: 1", ["MIIEvQIBADANBg\n  kqhkiG9w0BAQ"]),
+    ("<password>q9WfA71zLmP0</password>", [S]),
+    ('<add key="dbPassword" value="q9WfA71zLmP0"/>', [S]),
+    ('settings["client_secret"] = "q9WfA71zLmP0"', [S]),
+    ("export CLIENT_SECRET=q9WfA71zLmP0", [S]),
+    ("curl --client-secret q9WfA71zLmP0 http://x", [S]),
+    ("curl --client-secret=q9WfA71zLmP0 http://x", [S]),
+    ('#define CLIENT_SECRET "q9WfA71zLmP0"', [S]),
+    ('url = "Server=db;Pwd=q9WfA71zLmP0;"', [S]),
+    ("it's don't won't; client_pwd = 'q9WfA71zLmP0'", [S]),
+    ('x = y = client_pwd = "q9WfA71zLmP0"', [S]),
+    ('tokens = ["q9WfA71zLmP0"]', [S]),
+    ('dbpassword := "q9WfA71zLmP0"', [S]),
+    # none of these is a secret
+    ('x = "q9WfA71zLmP0"\nname = "q9WfA71zLmP0"', []),
+    ('password = "changeme"\ntoken = "${TOKEN_FROM_ENV}"', []),
+    ("He said: the secret of this = that was old.", []),
+    ('if token == "q9WfA71zLmP0":\n  pass', []),
+    ("a = b\nb = a\npwd = a", []),
+    ('tokens["q9WfA71zLmP0"]', []),
+    ("Address: http://e.com/passwords and key: lock", []),
+    ("The author is the key to monkeys, see chapter 12: tokens and 3 certs.", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LEXED)
+def test_secret_lexing_follows_assignments(text, want):
+    assert found(text) == want
+
+
+def test_secret_lexing_finds_what_is_planted():
+    """Random statements of many syntaxes among prose: every planted literal is found, and nothing else."""
+    rng = random.Random(12)
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "const {n}: string = `{v}`;", "export {n}={v}", "<{n}>{v}</{n}>", '{n} = wrap(1, "{v}")', "--{n} {v}", '#define {n} "{v}"', '{n} = os.environ.get("X_Y", "{v}")', "{n} => '{v}'"]
+    plain = ["the sun was out and we went home", "see page 12: nothing new", 'colour = "q9WfA71zLmP1"', 'print("hello there")', "x = y + 1", "if a == b: pass", "It's a \"quoted\" word"]
+    for _ in range(200):
+        lines, want = [], []
+        for _ in range(rng.randint(1, 12)):
+            if rng.random() < 0.4:
+                v = "".join(rng.choices("abcdefghijkmnpqrstuvwxyz", k=6) + rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ", k=3) + rng.choices("23456789", k=4))
+                v = v[-4:-2] + v[:-4] + v[-2:]
+                lines.append(rng.choice(forms).format(n=rng.choice(["client_secret", "dbPwd", "API_KEY", "passphrase", "apiToken"]), v=v))
+                want.append(v)
+            else:
+                lines.append(rng.choice(plain))
+        text = "\n".join(lines)
+        assert found(text) == want, text
+
+
+def test_secret_scan_takes_linear_time():
+    """Long lines, unclosed literals and brackets, and chains of names."""
+    size = 200_000
+    parts = ["a", "password = ", 'password="', 'key"\\"', "key`\\`", "<key ", "key([", "key: |\n", "key=\n", "<key>", "key=a", "key:a", "--key ", "key.", "#define key ", "key'\'\'", "key   ", 'key["a"', "key\\", "AKIA", "0a", "&key"]
+    for part in parts:
+        text = part * (size // len(part)) + "! password:1"
+        began = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - began < 6, part
+    chain = "\n".join(f"key{i} = key{i + 1}" for i in range(8000)) + '\nkey8000 = "q9WfA71zLmP0"\npwd = key0'
+    assert found(chain) == [S]
+
+
+def test_secret_awkward_rows(spark):
+    df = awkward(spark, [None, "", "password=hunter22x", "password=hunter22x", "word " * 300_000 + " password=hunter22x"])
+    got = secrets.scan(df).collect()
+    assert len(got) == df.count() and len({r.spans for r in got if r.n_assign}) == 2
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.mask(empty(spark)).count() == 0
 
 
 def test_secret_masking_keeps_columns(spark):
