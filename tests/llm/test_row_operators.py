@@ -1,5 +1,7 @@
 """Operators that judge each document alone: quality, language, secrets, packing, WARC."""
 
+import base64
+import gzip
 import hashlib
 import json
 import math
@@ -8,11 +10,13 @@ import re
 import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pytest
 
 from tests.llm.helpers import awkward, documents, empty
-from weftgraph.llm import language, packing, quality, queries, secrets, warc
+from weftgraph.llm import language, markup, packing, quality, queries, secrets, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -356,35 +360,130 @@ PAGE = '<!DOCTYPE html><html><head><title>A &amp; B</title><script src="s.js">va
 
 
 def pages(spark):
-    rows = [(1, "http://e.com/d/", PAGE, "clash"), (2, None, None, None), (3, "http://e.com/?q=ü", "", "c"), (1, "http://e.com/d/", PAGE, "clash")]
+    rows = [(1, "http://e.com/d/", PAGE, "clash"), (2, None, None, None), (3, "http://e.com/?q=ü\r\nWARC-Type: forged", "", "c"), (1, "http://e.com/d/", PAGE, "clash"), (4, "http://e.com/4", "<p>talk of\r\n\r\nWARC/1.1\r\nrecords</p>" * 3, "c")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, record string")
 
 
 def test_warc_text_and_links():
-    assert warc.page_text(PAGE) == "A & B\nX\nHello\nbig world é"
-    assert [(x["path"], x["url"]) for x in warc.page_links(PAGE, "http://e.com/d/")] == [("SCRIPT@/src", "http://e.com/d/s.js"), ("A@/href", "http://e.com/x"), ("IMG@/src", "http://e.com/d/i.png")]
+    title, text, links = markup.read(PAGE, "http://e.com/d/")
+    assert title == "A & B" and text == "A & B\nX\nHello\nbig world é"
+    assert [(x["path"], x["url"]) for x in links] == [("SCRIPT@/src", "http://e.com/d/s.js"), ("A@/href", "http://e.com/x"), ("IMG@/src", "http://e.com/d/i.png")]
+    assert markup.read('<a title="a > b" href=\'/y\'>1 < 2 &#' + "9" * 6000 + "; &#" + "0" * 6000 + "65;</a>", "http://e.com/") == ("", "1 < 2 � A", [{"path": "A@/href", "url": "http://e.com/y"}])
+
+
+class BruteReader(HTMLParser):
+    """Title, links and text by the standard library's parser, for well-formed pages."""
+
+    def __init__(self, url):
+        super().__init__(convert_charrefs=True)
+        self.url, self.links, self.out, self.titles, self.skip, self.open_title = url, [], [], [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        self.out.append("\n" if tag in markup.BREAKS else " ")
+        hit = next(((k, v) for k, v in attrs if k in ("href", "src")), None)
+        if tag in markup.LINKS and hit and not self.skip:
+            self.links.append({"path": f"{tag.upper()}@/{hit[0]}", "url": urljoin(self.url, (hit[1] or "").strip())})
+        self.skip += tag in ("script", "style", "noscript", "template")
+        self.open_title |= tag == "title"
+
+    def handle_endtag(self, tag):
+        self.out.append("\n" if tag in markup.BREAKS else " ")
+        self.skip -= tag in ("script", "style", "noscript", "template")
+        self.open_title &= tag != "title"
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+        if self.open_title:
+            self.titles.append(data)
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+    def result(self):
+        lines = [" ".join(x.split()) for x in "".join(self.out).split("\n")]
+        return " ".join("".join(self.titles).split()), "\n".join(x for x in lines if x), self.links
+
+
+def random_page(rng):
+    words = lambda: " ".join(rng.choice(["sun", "&amp;", "&eacute;t&eacute;", "moon", "a&nbsp;b", "1 &lt; 2"]) for _ in range(rng.randint(0, 6)))
+    parts = [f"<p class='x'>{words()}</p>", f'<a href="/{rng.randrange(99)}?a=1&amp;b=2">{words()}</a>', f"<div>{words()}<br/>{words()}</div>", f"<!-- {words()} -->", f"<script>if (a < b) {{ '<p>' }}</script>", "<style>p > a {}</style>", f'<img alt="a > b" src="i{rng.randrange(9)}.png">', f"<noscript>{words()}</noscript>", f"<ul><li>{words()}<li>{words()}</ul>"]
+    return f"<!DOCTYPE html><html><head><title> {words()} </title></head><body>" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) + "</body></html>"
+
+
+def test_warc_digests_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://h{i}.org/p/q", random_page(rng)) for i in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.digests(df).collect()}
+    for i, url, html in rows:
+        reader = BruteReader(url)
+        reader.feed(html)
+        reader.close()
+        title, text, links = reader.result()
+        r, sha = got[i], lambda x: hashlib.sha256(x.encode()).hexdigest()
+        payload = "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        about = {"Title": title, "Links": links, "Status": "HTTP/1.1 200 OK", "Response-Headers": [["Content-Type", "text/html; charset=utf-8"], ["Content-Length", str(len(html.encode()))]], "Source": {"WARC-Record-ID": r.response_id, "WARC-Target-URI": url, "WARC-Date": warc.DATE, "WARC-Payload-Digest": payload}}
+        told = json.dumps(about, ensure_ascii=False, sort_keys=True)
+        assert (r.title, r.n_links, r.text_chars, r.payload_digest, r.refers_to) == (title, len(links), len(text), payload, r.response_id)
+        assert r.text_sha256 == sha(text) and r.metadata_sha256 == sha(told)
+        b32 = "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+        whole = f"WARC/1.1\r\nWARC-Type: conversion\r\nWARC-Record-ID: {r.conversion_id}\r\nWARC-Refers-To: {r.response_id}\r\nWARC-Date: {warc.DATE}\r\nWARC-Target-URI: {url}\r\nWARC-Source-Payload-Digest: {payload}\r\nWARC-Block-Digest: {b32}\r\nContent-Type: text/plain\r\nContent-Length: {len(text.encode())}\r\n\r\n{text}"
+        assert r.conversion_record_sha256 == sha(whole)
+
+
+def test_warc_pages_take_linear_time():
+    for part in ["<a ", "<a href='", "<!--", "<!", "<script>", "<noscript>", "<title>", "</", "<p =", '<a b="', "&#9", "< ", "<a href=x>", "</script ", "&#x0"]:
+        began = time.process_time()
+        markup.read(part * (1_000_000 // len(part)), "http://e.com/")
+        assert time.process_time() - began < 6, part
 
 
-@pytest.mark.parametrize("compression", ["gzip", "none"])
-def test_warc_files_round_trip(spark, tmp_path, compression):
-    df = pages(spark)
-    path = str(tmp_path / "w")
-    warc.write_warc(warc.responses(df).unionByName(warc.derivatives(df).drop("type")), path, compression)
-    got = [(json.loads(r.headers), bytes(r.block)) for r in warc.read_warc(spark, path).collect()]
-    assert Counter(h["WARC-Type"] for h, _ in got) == {"response": 4, "metadata": 4, "conversion": 4}
+@pytest.mark.parametrize("compressed", [True, False])
+def test_warc_files_round_trip(spark, tmp_path, compressed):
+    df, path = pages(spark), str(tmp_path / "w")
+    warc.write_warc(warc.responses(df, "2024-05-06T07:08:09Z").coalesce(2), path, compressed)
+    read = warc.read_warc(spark, path)
+    warc.write_warc(warc.derivatives(read), path + "2", compressed)
+    got = [(json.loads(r.headers), bytes(r.block)) for r in read.unionByName(warc.read_warc(spark, path + "2")).collect()]
+    assert Counter(h["WARC-Type"] for h, _ in got) == {"response": 5, "metadata": 5, "conversion": 5}
     sources = {h["WARC-Record-ID"]: (h, b) for h, b in got if h["WARC-Type"] == "response"}
     for h, block in got:
-        assert warc.digest(block) == h["WARC-Block-Digest"] and len(block) == int(h["Content-Length"])
+        assert warc.digest(block) == h["WARC-Block-Digest"] and len(block) == int(h["Content-Length"]) and h["WARC-Date"] == "2024-05-06T07:08:09Z"
         if h["WARC-Type"] != "response":
             source, body = sources[h["WARC-Refers-To"]]
             assert h["WARC-Source-Payload-Digest"] == source["WARC-Payload-Digest"] == warc.digest(body.split(b"\r\n\r\n", 1)[1])
-            assert h.get("WARC-Target-URI") == source.get("WARC-Target-URI") and h["WARC-Date"] == source["WARC-Date"]
+            assert h.get("WARC-Target-URI") == source.get("WARC-Target-URI")
         if h["WARC-Type"] == "metadata":
             assert json.loads(block)["Source"]["WARC-Record-ID"] == h["WARC-Refers-To"]
+    for file in (tmp_path / "w").glob("*.warc.gz"):  # every record is a member of its own
+        data = file.read_bytes()
+        while data:
+            one = zlib.decompressobj(31)
+            h, block = warc.parse(one.decompress(data))
+            assert one.eof and h["WARC-Type"] == "response"
+            data = one.unused_data
+
+
+def test_warc_responses_keep_what_they_say():
+    """A response of another origin: its own headers, date, charset and codings."""
+    page = "<title>Größe</title><p>naïve</p>".encode("latin-1")
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (gzip.compress(page)[:9], gzip.compress(page)[9:])) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=ISO-8859-1\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-Own: 1\r\n\r\n" + chunks
+    headers = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Date": "2020-02-02T02:02:02Z", "WARC-Target-URI": "http://e.com/", "Content-Type": "application/http;msgtype=response"}
+    (_, meta), (_, text) = warc.derive(headers, block)
+    h, told = warc.parse(meta)
+    about = json.loads(told)
+    assert h["WARC-Date"] == "2020-02-02T02:02:02Z" and about["Status"] == "HTTP/1.1 404 Not Found" and ["X-Own", "1"] in about["Response-Headers"]
+    assert about["Title"] == "Größe" and warc.parse(text)[1].decode() == "Größe\nnaïve" and h["WARC-Source-Payload-Digest"] == warc.digest(chunks)
+    assert [k for k, _ in warc.derive(headers, b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG")] == ["metadata"]
+    assert list(warc.derive({**headers, "WARC-Type": "request"}, block)) == []
 
 
 def test_warc_digests(spark):
     df = pages(spark)
     rows = warc.digests(df).collect()
-    assert len(rows) == 4 and len({r.response_id for r in rows}) == 3 and all(r.refers_to == r.response_id for r in rows)
+    assert len(rows) == 5 and len({r.response_id for r in rows}) == 4 and all(r.refers_to == r.response_id for r in rows)
     assert warc.digests(df.limit(0)).count() == 0
+    h, _ = warc.parse(warc.response(3, "http://e.com/\r\nWARC-Type: forged", ""))
+    assert h["WARC-Type"] == "response" and h["WARC-Target-URI"] == "http://e.com/%0D%0AWARC-Type:%20forged"
