@@ -357,10 +357,24 @@ def test_substring_removal_matches_brute_force(spark, monkeypatch, chunk):
 
 def test_substring_result_does_not_depend_on_the_sketch(spark):
     pairs = corpus(60)
-    tight = substring.remove_repeats(documents(spark, pairs), substring.SubstringParameters(most_cells=64)).collect()
+    tight = substring.remove_repeats(documents(spark, pairs), substring.SubstringParameters(cells=64)).collect()
     assert sorted(map(tuple, tight)) == sorted(brute_removal(pairs))
 
 
+def test_substring_equal_rows_and_copies(spark):
+    """Many equal rows, copies under other ids, and a passage of theirs inside another text."""
+    rng = random.Random(2)
+    base = [f"q{rng.randrange(10**6)}" for _ in range(80)]
+    pairs = [(1, " ".join(base))] * 30 + [(i, " ".join(base)) for i in range(2, 12)] + [(50, " ".join(["x"] * 3 + base[5:60] + ["y"])), (51, " ".join(base[:20])), (None, " ".join(base[:20])), (52, "  ".join(base))]
+    got = [tuple(r) for r in substring.remove_repeats(documents(spark, pairs).repartition(5)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_removal(pairs), key=repr)
+
+
+def test_substring_runs_without_a_broadcast(spark):
+    plan = substring.remove_repeats(documents(spark, corpus(20)))._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_substring_awkward_rows(spark):
     df = awkward(spark)
     got = sorted((tuple(r) for r in substring.remove_repeats(df).collect()), key=repr)

@@ -1,13 +1,15 @@
 """Operator 10, substring dedup: a count-min prefilter, then exact grouping of the windows it leaves.
 
 A window of 35 words is represented by its anchor, the 8-word shingle of least hash inside it (leftmost on ties), so equal
-windows have equal anchors. Tasks count anchors into sketches; merged, they overestimate the count of every anchor and so
-of every window. A second pass groups, exactly and by 96-bit hashes, only windows whose anchor is estimated repeated;
-a third removes the words that repeated windows cover. No window is lost: an estimate is never below the count.
+windows have equal anchors. Sketches of anchor counts, made by partition, are merged cell by cell; the sketch is a table
+dealt out by cell, so it grows with the cluster and no machine holds it whole. It overestimates the count of every anchor
+and so of every window. Documents ask it about their anchors by a join, and a second pass groups, exactly and by 96-bit
+hashes, only windows whose anchor is estimated repeated; a third removes the words that repeated windows cover. No window
+is lost: an estimate is never below the count. Of texts that are equal as a whole, one stands for all in the grouping.
 
 Cases: a null text has no words; texts shorter than a window are untouched; windows repeated inside one document count
 (also overlapping ones); repeated rows are copies of each other; null ids are rows like any; an empty table gives an
-empty table; other columns are not read.
+empty table; a very long text is held whole by one task at a time; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +29,11 @@ from weftgraph.llm.common import SLICE_ROWS, map_rows, words, small_batches
 
 @dataclass(frozen=True)
 class SubstringParameters:
-    """most_cells bounds each of the sketch's two rows, whose repeated cells are broadcast as bits (32 MB a row at most).
-
-    Beyond about most_cells anchors the prefilter passes more windows to the exact grouping; the result stays the same.
-    """
+    """cells fixes the width of the sketch's two rows; None: a power of two of at least eight cells an anchor."""
 
     window: int = 35
     anchor: int = 8
-    most_cells: int = 1 << 28
+    cells: int | None = None
 
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -88,59 +87,43 @@ def anchor_occurrences(anchors: np.ndarray, h: np.ndarray, p: SubstringParameter
     return grams[np.isin(grams, chosen, kind="sort")]
 
 
-def cells(anchors: np.ndarray, n_cells: int) -> list[np.ndarray]:
-    mask = np.uint64(n_cells - 1)
-    return [mix(anchors + salt) & mask for salt in (P1, P2)]
-
-
 def n_cells_for(docs: DataFrame, p: SubstringParameters) -> int:
     """A power of two of at least eight cells an anchor, from the bytes of all texts (some 6 a word, an anchor in 14 words)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(p.most_cells, max(1 << 16, 1 << int(total // 10).bit_length()))
+    return p.cells or max(1 << 16, 1 << int(total // 10).bit_length())
 
 
-def repeated_cells(docs: DataFrame, n_cells: int, p: SubstringParameters) -> list[np.ndarray]:
-    """Bits of the cells whose merged count is two or more, for each row of the sketch."""
+def anchors_of(rows: DataFrame, p: SubstringParameters) -> DataFrame:
+    """row_key, anchor, n: the distinct anchors of every text, and how often each occurs there (2 stands for more)."""
     window = p.window
-    arrow = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held):
-            for row in (0, 1):
-                cell, n = np.unique(np.concatenate([x[row] for x in held]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((cell + np.uint64(row * n_cells)).astype(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], schema=arrow)
+    arrow = pa.schema([("row_key", pa.int64()), ("anchor", pa.int64()), ("n", pa.int32())])
 
-        held, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = words(text)
-                if len(w) >= window:
-                    h = word_hashes(w)[:, 0]
-                    held.append(cells(anchor_occurrences(anchor_of_windows(h, p), h, p), n_cells))
-                    size += len(held[-1][0])
-                    if size > 1_000_000:
-                        yield from flush(held)
-                        held, size = [], 0
-        if held:
-            yield from flush(held)
+            held = []
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    w = words(text)
+                    if len(w) >= window:
+                        h = word_hashes(w)[:, 0]
+                        anchor, n = np.unique(anchor_occurrences(anchor_of_windows(h, p), h, p), return_counts=True)
+                        held.append((np.full(len(n), key), anchor.view(np.int64), np.minimum(n, 2).astype(np.int32)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=arrow)
 
-    counted = small_batches(docs.select("text")).mapInArrow(sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    # Packed where they are counted: 64 cells a row of 16 bytes, so n_cells / 2 bytes bound what the driver gets.
-    packed = counted.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 64 AS INT)))").alias("bits"))
-    out = np.zeros(2 * n_cells // 64, np.int64)
-    for batch in packed.toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return [out[: n_cells // 64].view(np.uint64), out[n_cells // 64 :].view(np.uint64)]
+    return small_batches(rows.select("row_key", "text")).mapInArrow(run, "row_key long, anchor long, n int")
 
 
-def marked(bits: list[np.ndarray], where: list[np.ndarray]) -> np.ndarray:
-    """Whether the estimate, the least count over the sketch's rows, is two or more."""
-    one, six, low = np.uint64(1), np.uint64(6), np.uint64(63)
-    out = None
-    for b, c in zip(bits, where, strict=True):
-        hit = (b[(c >> six).astype(np.int64)] >> (c & low)) & one == one
-        out = hit if out is None else out & hit
-    return out
+def repeated_anchors(rows: DataFrame, n_cells: int, p: SubstringParameters) -> DataFrame:
+    """row_key, anchors: those of a text's anchors whose estimate, the least count over the sketch's rows, is two or more."""
+    asked = anchors_of(rows, p).select("row_key", "anchor", "n", *[F.pmod(F.xxhash64(F.lit(r), "anchor"), F.lit(n_cells)).alias(f"cell{r}") for r in (1, 2)])
+    left = asked.select("row_key", "anchor", "cell1", "cell2")
+    for r in (1, 2):
+        # Partial counts of each partition are its sketch; their sum by cell merges them.
+        sketch = asked.groupBy(F.col(f"cell{r}").alias("cell")).agg(F.sum("n").alias("n")).where("n > 1").select("cell")
+        left = left.join(sketch.hint("shuffle_hash"), F.col(f"cell{r}") == F.col("cell"), "left_semi")
+    return left.groupBy("row_key").agg(F.collect_list("anchor").alias("anchors"))
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
@@ -149,81 +132,95 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.select((F.xxhash64("doc_id", "text") if odd else F.col("doc_id")).alias("row_key"), "doc_id", "text")
 
 
+def copies(rows: DataFrame, p: SubstringParameters) -> DataFrame:
+    """row_key, first: rows of texts that occur more than once, and whether a row has the least key of its text."""
+    long = rows.where(F.octet_length("text") >= 2 * p.window - 1).select("row_key", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    groups = long.groupBy("text_key").agg(F.min("row_key").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("text_key").alias("k"), "least")
+    both = long.join(groups, F.col("text_key") == F.col("k"))
+    return both.select("row_key", (F.col("row_key") == F.col("least")).alias("first")).distinct()
+
+
 #: Candidate windows that a task holds before it looks for repeats among them.
 CHUNK = 1_000_000
 
 
-def settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+def settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, ...]:
     """Marks windows that repeat inside a chunk as known; all but one of a group get a key of their own.
 
     So a task sends a window's sequence once however often it holds it, and no key gathers more rows than there are chunks.
-    A row is the first 64 bits of the window's hash, the text's key, and one number of 32 further bits, start and mark.
+    A row is the first 64 bits of the window's hash, the text's key, and one number of 32 further bits, start and mark; and
+    whether the text stands for itself alone.
     """
     order = np.lexsort((h2, h1))
-    h1, h2, key, at = h1[order], h2[order], key[order], at[order]
+    h1, h2, key, at, lone = h1[order], h2[order], key[order], at[order], lone[order]
     same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
     later = np.concatenate([[False], same])
     known = later | np.concatenate([same, [False]])
     own = mix(key.astype(np.uint64) * P1 + at)
     high = np.where(later, own, h2) & ~LOW
-    return np.where(later, own, h1), key, high | at << np.uint64(1) | known.astype(np.uint64)
+    return np.where(later, own, h1), key, high | at << np.uint64(1) | known.astype(np.uint64), lone
 
 
 LOW = np.uint64(0xFFFFFFFF)
 
 
-def repeated_windows(rows: DataFrame, p: SubstringParameters) -> DataFrame:
-    """row_key, starts: the start positions of windows that start elsewhere too."""
-    n_cells = n_cells_for(rows, p)
-    shared = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, n_cells, p))
+def repeated_windows(rows: DataFrame, same: DataFrame, p: SubstringParameters) -> DataFrame:
+    """row_key, starts: the start positions of windows that start elsewhere too, for texts that occur once.
+
+    The text that stands for its copies has windows without a row, which are only compared with.
+    """
+    marks = repeated_anchors(rows, n_cells_for(rows, p), p).join(same, "row_key", "left").where("first IS NULL OR first")
+    marked = rows.join(marks.withColumnRenamed("row_key", "k").hint("shuffle_hash"), F.col("row_key") == F.col("k"))
     arrow = pa.schema([("h1", pa.int64()), ("row_key", pa.int64()), ("rest", pa.int64())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, size = shared.value, [], 0
+        held, size = [], 0
 
         def flush():
-            h1, key, rest = settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            whole = pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(key), pa.array(rest.view(np.int64))], schema=arrow)
+            h1, key, rest, lone = settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            whole = pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(key, mask=~lone), pa.array(rest.view(np.int64))], schema=arrow)
             for start in range(0, len(key), 65536):
                 yield whole.slice(start, 65536)
 
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(begin, SLICE_ROWS)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for key, _, text, anchors, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     w = words(text)
                     if len(w) < p.window:
                         continue
                     h = word_hashes(w)
-                    at = np.flatnonzero(marked(bits, cells(anchor_of_windows(h[:, 0], p), n_cells)))
-                    if len(at):
-                        held.append((rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at] & ~LOW, np.full(len(at), key), at.astype(np.uint64)))
-                        size += len(at)
-                        if size >= CHUNK:
-                            yield from flush()
-                            held, size = [], 0
+                    at = np.flatnonzero(np.isin(anchor_of_windows(h[:, 0], p).view(np.int64), np.array(anchors)))
+                    held.append((rolling(h[:, 0], p.window, P1)[at], rolling(h[:, 1], p.window, P2)[at] & ~LOW, np.full(len(at), key), at.astype(np.uint64), np.full(len(at), not first)))
+                    size += len(at)
+                    if size >= CHUNK:
+                        yield from flush()
+                        held, size = [], 0
         if held:
             yield from flush()
 
-    found = small_batches(rows.select("row_key", "text")).mapInArrow(candidates, "h1 long, row_key long, rest long").repartition("h1")
+    found = small_batches(marked.select("row_key", "doc_id", "text", "anchors", "first")).mapInArrow(candidates, "h1 long, row_key long, rest long").repartition("h1")
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h1", F.shiftright("rest", 32))))
     mark, start = F.col("rest").bitwiseAND(1) == 1, F.shiftright(F.col("rest").bitwiseAND(0xFFFFFFFF), 1).cast("int")
-    hits = counted.where(mark | (F.col("n") > 1)).select("row_key", start.alias("at"))
+    hits = counted.where(F.col("row_key").isNotNull() & (mark | (F.col("n") > 1))).select("row_key", start.alias("at"))
     return hits.groupBy("row_key").agg(F.collect_list("at").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, p: SubstringParameters = SubstringParameters(), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (if asked) the kept words of every row."""
     rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    starts = repeated_windows(rows, p).withColumnRenamed("row_key", "k")
-    # Hashing the small side leaves the texts unsorted.
+    same = copies(rows, p)
+    starts = repeated_windows(rows, same, p).join(same, "row_key", "full").withColumnRenamed("row_key", "k")
+    # Hashing the small side leaves the texts unsorted; they are exchanged once, for this join and the one before.
     both = rows.join(starts.hint("shuffle_hash"), F.col("row_key") == F.col("k"), "left")
     window = p.window
 
     def make():
-        def one(doc_id, text, starts):
+        def one(_, doc_id, text, starts, first):
             w = words(text)
-            if starts:
+            if first is not None and len(w) >= window:
+                kept = []
+            elif starts:
                 at = np.array(starts)
                 cover = np.zeros(len(w) + 1, np.int64)
                 np.add.at(cover, at, 1)
@@ -237,4 +234,4 @@ def remove_repeats(docs: DataFrame, p: SubstringParameters = SubstringParameters
 
         return one
 
-    return map_rows(both.select("doc_id", "text", "starts"), make, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return map_rows(both.select("row_key", "doc_id", "text", "starts", "first"), make, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
