@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_ROWS, map_rows, words, small_batches
+from weftgraph.llm.common import SLICE_ROWS, discard, map_rows, materialize, small_batches, words
 
 
 @dataclass(frozen=True)
@@ -117,19 +117,23 @@ def anchors_of(rows: DataFrame, p: SubstringParameters) -> DataFrame:
 
 def repeated_anchors(rows: DataFrame, n_cells: int, p: SubstringParameters) -> DataFrame:
     """row_key, anchors: those of a text's anchors whose estimate, the least count over the sketch's rows, is two or more."""
-    asked = anchors_of(rows, p).select("row_key", "anchor", "n", *[F.pmod(F.xxhash64(F.lit(r), "anchor"), F.lit(n_cells)).alias(f"cell{r}") for r in (1, 2)])
+    held = materialize(anchors_of(rows, p), "anchors")
+    asked = held.select("row_key", "anchor", "n", *[F.pmod(F.xxhash64(F.lit(r), "anchor"), F.lit(n_cells)).alias(f"cell{r}") for r in (1, 2)])
     left = asked.select("row_key", "anchor", "cell1", "cell2")
     for r in (1, 2):
         # Partial counts of each partition are its sketch; their sum by cell merges them.
         sketch = asked.groupBy(F.col(f"cell{r}").alias("cell")).agg(F.sum("n").alias("n")).where("n > 1").select("cell")
         left = left.join(sketch.hint("shuffle_hash"), F.col(f"cell{r}") == F.col("cell"), "left_semi")
-    return left.groupBy("row_key").agg(F.collect_list("anchor").alias("anchors"))
+    out = materialize(left.groupBy("row_key").agg(F.collect_list("anchor").alias("anchors")), "repeated")
+    discard(held)
+    return out
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """row_key and text: the id where ids are whole and unique, else a hash of id and text (equal rows share it)."""
     odd = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
-    return docs.select((F.xxhash64("doc_id", "text") if odd else F.col("doc_id")).alias("row_key"), "doc_id", "text")
+    # Never null to Spark either, so that no join needs a filter of its own and all share one exchange of the texts.
+    return docs.select((F.xxhash64("doc_id", "text") if odd else F.coalesce("doc_id", F.lit(0))).alias("row_key"), "doc_id", "text")
 
 
 def copies(rows: DataFrame, p: SubstringParameters) -> DataFrame:
