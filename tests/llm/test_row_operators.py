@@ -73,7 +73,7 @@ def test_language_backs_off_and_holds_out(spark):
     rows = [(i, text("ab"[i % 2] * 2), "ab"[i % 2] * 2) for i in range(200)] + [(900, text("aa"), None), (901, None, "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(df.where("doc_id < 150"))
-    assert model.word("mortalmortalvin") is not None  # unseen, scored by its n-grams
+    assert "mortalmortalvin" not in model.table[0] and model.hits("mortalmortalvin")  # unseen, scored by its n-grams
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, model).collect()}
     assert all(got[i][0] == "ab"[i % 2] * 2 and 0.5 < got[i][1] <= 1 for i in range(200))
     assert got[901] == ("und", 0.0)

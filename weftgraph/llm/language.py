@@ -79,54 +79,70 @@ class LanguageModel:
         floor = np.log(p.unseen / totals)
         self.scores = (floor[kind_of] + np.log1p(have / p.unseen)).astype(np.float32)
 
-    def word(self, w: str) -> np.ndarray | None:
-        """Scores by language relative to the best one; None if nothing of the word is known."""
-        at = self.table[WORD].get(w)
-        if at is not None:
-            found = self.scores[at]
-        else:
-            for size in range(self.p.longest, 0, -1):
-                hits = [i for g in grams(w, size) if (i := self.table[size].get(g)) is not None]
-                if hits:
-                    found = self.scores[hits].mean(axis=0)
-                    break
-            else:
-                return None
-        return found - found.max()
+    def hits(self, w: str) -> list[int]:
+        """Rows of scores of an unseen word's known n-grams, of the greatest length that has any."""
+        edged = f"{EDGE}{w}{EDGE}"
+        for size in range(self.p.longest, 0, -1):
+            known = self.table[size].get
+            if hits := [i for at in range(len(edged) - size + 1) if (i := known(edged[at : at + size])) is not None]:
+                return hits
+        return []
 
 
 class Scorer(dict):
-    """Words as they stand in a text, by the row of a matrix that holds their scores; row 0 is of words that tell nothing."""
+    """Words as they stand in a text, by the row of a matrix with their scores relative to the best language's.
+
+    Row 0 is of words that tell nothing; the words of the model follow, then unseen ones as they come. The last column counts words.
+    """
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model = model
-        self.matrix = np.zeros((1024, len(model.languages) + 1))
-        self.used = 1
+        self.known = {w: i + 1 for i, w in enumerate(model.table[WORD])}
+        scores = model.scores[list(model.table[WORD].values())]
+        self.matrix = np.zeros((len(scores) + 4096, len(model.languages) + 1), np.float32)
+        self.used = self.base = len(scores) + 1
+        self.fill(1, scores)
+        self.hits: list[int] = []
+        self.sizes: list[int] = []
+
+    def fill(self, start: int, scores: np.ndarray) -> None:
+        if len(scores):
+            self.matrix[start : start + len(scores), :-1] = scores - scores.max(axis=1, keepdims=True)
+            self.matrix[start : start + len(scores), -1] = 1
 
     def __missing__(self, raw: str) -> int:
         w = raw.strip(STRIP)
-        scores = self.model.word(w) if w and any(map(str.isalpha, w)) else None
-        at = 0
-        if scores is not None:
+        at = self.known.get(w, 0)
+        if not at and any(map(str.isalpha, w)) and (hits := self.model.hits(w)):
+            self.hits += hits
+            self.sizes.append(len(hits))
             at, self.used = self.used, self.used + 1
-            if at == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            self.matrix[at, :-1], self.matrix[at, -1] = scores, 1
         self[raw] = at
         return at
 
+    def settle(self) -> None:
+        """Give the unseen words that have come their rows: means over their n-grams."""
+        ends = np.cumsum(self.sizes)
+        means = np.add.reduceat(self.model.scores[self.hits], ends - self.sizes, axis=0) / np.array(self.sizes)[:, None]
+        if self.used > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros((self.used, self.matrix.shape[1]), np.float32)])
+        self.fill(self.used - len(means), means)
+        self.hits, self.sizes = [], []
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most likelihood, and its posterior with evidence of at most ``sharpness`` words."""
         model = self.model
         if not text or not model.languages:
             return UNKNOWN
-        if self.used > MOST_HELD or len(self) > 2 * MOST_HELD:
+        if len(self) > MOST_HELD:
             self.clear()
-            self.used = 1
+            self.used = self.base
         tokens = text.lower().split()
         rows, times = np.unique(np.fromiter(map(self.__getitem__, tokens), np.intp, len(tokens)), return_counts=True)
-        totals = times @ self.matrix[rows]
+        if self.sizes:
+            self.settle()
+        totals = times @ self.matrix[rows].astype(np.float64)
         n = totals[-1]
         if not n:
             if not any(map(str.isalpha, text)):
