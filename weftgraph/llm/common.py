@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,6 +18,8 @@ SLICE_ROWS = 256
 BATCH_ROWS = 512
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+from weftgraph.runtime import shared_folder
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -36,22 +37,25 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a folder of this session's own.
+    """This application's folder below ``spark.checkpoint.dir``, which driver and executors share; it goes when the driver ends.
 
     Where the setting is missing, a local session takes a temporary folder and any other the warehouse, which is shared.
     """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="weft-")
-        else:
-            _own_dirs[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_weft"
+        path = f"{shared_folder(spark)}/llm-{app}-{uuid.uuid4().hex[:8]}"
+        _own_dirs[app] = path
+        at, files = _files(spark, path)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
     return _own_dirs[app]
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 #: Rows that a file of a small table holds.
 FILE_ROWS = 250_000
 
@@ -75,13 +79,13 @@ def materialize(df: DataFrame, label: str, most_rows: int | None = None) -> Data
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a :func:`materialize` result that no later plan reads."""
-    path = getattr(df, "_weft_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files behind :func:`materialize` results that no later plan reads; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_weft_path", None)
+        if path:
+            at, files = _files(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def arrow_type(kind: DataType) -> pa.DataType:

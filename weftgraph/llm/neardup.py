@@ -122,7 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved:
             break
     discard(both)
-    return labels.select("id", "component")
+    out = labels.select("id", "component")
+    out._weft_path = labels._weft_path
+    return out
 
 
 def hash_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -131,11 +133,14 @@ def hash_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, p: NearDupParameters) -> DataFrame:
-    """Those (a, b) whose full sets are similar enough. A centre a's set goes once to each of its salted groups."""
-    salts = pairs.groupBy("a").agg((F.count("*") / 256 + 1).cast("int").alias("salts"))
-    own = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("a", F.col("a").alias("b"), "salt")
-    rest = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    held = rest.union(own).join(sets.withColumnRenamed("id", "b"), "b")
+    """Those (a, b) whose full sets are similar enough.
+
+    The members b of a centre a are dealt into groups of about 256, by the size n of the bucket that paired them; a's set
+    goes once to each group. No step gathers all rows of a centre.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 256)).cast("int").alias("salt"))
+    own = salted.select("a", F.col("a").alias("b"), "salt").distinct()
+    held = salted.union(own).join(sets.withColumnRenamed("id", "b"), "b")
     grouped = held.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
     percent = p.percent
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -235,7 +240,10 @@ def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDu
         if len(block[0]) > 1 and (out := block_links(*block, percent)):
             yield emit(out, arrow)
 
-    return small_batches(held.select("bucket", "lo", "hi", "chunk", "component", "id", "hashes")).mapInArrow(run, "a long, b long")
+    found = small_batches(held.select("bucket", "lo", "hi", "chunk", "component", "id", "hashes")).mapInArrow(run, "a long, b long")
+    found = materialize(found.repartition(files_for(most)), "links")
+    discard(left, dealt)
+    return found
 
 
 def only(df: DataFrame, key: str, ids: DataFrame, most: int) -> DataFrame:
@@ -269,22 +277,28 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     heads = signed.join(classes, (signed.set_key == classes.set_key) & (signed.doc_id == classes.id), "left_semi")
     members = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min(F.struct("id", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    stars = stars.select("bucket", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"))
+    stars = stars.select("bucket", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"), "n")
     # Sets whose sizes differ too much can't be similar enough: no pair of them is made.
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
     members = materialize(members.join(stars, "bucket"), "members", n * bands)
     m = members.count()
     wanted = materialize(members.select("id").distinct(), "wanted", n)
     sets = materialize(hash_sets(only(docs, "doc_id", wanted, p.broadcast_ids), size), "sets")
-    pairs = members.where((F.col("id") != F.col("centre")) & fits(F.col("size"), F.col("centre_size"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = members.where((F.col("id") != F.col("centre")) & fits(F.col("size"), F.col("centre_size")))
+    pairs = pairs.groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.max("n").alias("n"))
     pairs = materialize(pairs, "pairs", m)
     # What confirms pairs stays as parallel as it is; its few results are dealt to fewer files.
     links = materialize(confirm(pairs, sets, p).repartition(files_for(m)), "links")
     labels = components(links)
-    more = materialize(open_pairs(members, labels, sets, p, m).repartition(files_for(m)), "links")
+    more = open_pairs(members, labels, sets, p, m)
     if not is_empty(more):
+        discard(labels)
         labels = components(links.union(more))
-    heads = classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
+    heads = materialize(classes.join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "heads", n)
+    discard(members, wanted, sets, pairs, links, more, labels, classes)
+    # Rows without a set meet no other and needn't be exchanged.
+    some = signed.where("set_key is not null").select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
+    none = signed.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
+    out = some.select("doc_id", "n_shingles", "component_id").union(none)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
