@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tests.llm.helpers import awkward, corpus, documents, empty
@@ -212,19 +215,86 @@ def test_shards_are_exact_and_gapless(spark):
 def test_hypergeometric_law():
     rng = random.Random(3)
     n = Counter(sharding.hypergeometric(rng, 6, 10, 5) for _ in range(20_000))
-    from math import comb
-
     for k in range(6):
         assert n[k] / 20_000 == pytest.approx(comb(6, k) * comb(10, 5 - k) / comb(16, 5), abs=0.012)
     big = [sharding.hypergeometric(rng, 10**10, 39 * 10**10, 10**6) for _ in range(200)]
     assert np.mean(big) == pytest.approx(25_000, rel=0.005)
 
 
+@pytest.mark.parametrize(("good", "bad", "draws"), [(60, 100, 50), (1000, 39_000, 3000), (5, 10**6, 10**5), (2 * 10**5, 3 * 10**5, 1000)])
+def test_hypergeometric_mass_is_exact(good, bad, draws):
+    """Quantiles against the law in exact integers: the draw at u is the first count whose exact mass exceeds u."""
+    class Fixed:
+        def random(self):
+            return self.u
+
+    fixed, total, mass, want = Fixed(), comb(good + bad, draws), 0, []
+    weight, k = comb(good, max(0, draws - bad)) * comb(bad, draws - max(0, draws - bad)), max(0, draws - bad)
+    while k <= min(draws, good):
+        mass += weight
+        want.append((k, mass * 10**18 // total))
+        weight = weight * (good - k) * (draws - k) // ((k + 1) * (bad - draws + k + 1))
+        k += 1
+    for u in [10**6, 10**14, 10**16, 10**17, 3 * 10**17, 5 * 10**17, 9 * 10**17, 999 * 10**15, 10**18 - 10**6]:
+        fixed.u = u / 10**18
+        got = sharding.hypergeometric(fixed, good, bad, draws)
+        near = {k for k, m in want if abs(m - u) < 10**7}  # within 1e-11 of a step either side is right
+        assert got in near | {x + 1 for x in near} | {next(k for k, m in want if m > u)}
+
+
 def test_matrix_has_its_sums():
     m = sharding.communication_matrix([10, 0, 7, 33], [12, 13, 12, 13], 5)
     assert [sum(r) for r in m] == [10, 0, 7, 33] and [sum(c) for c in zip(*m, strict=True)] == [12, 13, 12, 13]
 
 
+def spark_hash(*values):
+    """The engine's 64-bit hash of longs (and first, where asked, a 32-bit seed), nulls passed over."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v) if not isinstance(v, tuple) else struct.pack("<i", v[0]), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_shards_match_a_plain_construction(spark):
+    """Blocks, matrix, cuts and both permutations by hand, with equal rows among the others."""
+    pairs = [(i, f"t{i % 9}") for i in range(300)] + [(7, "same")] * 40 + [(None, None)] * 5
+    seed, n_shards = 17, 6
+    seen, rows = Counter(), []
+    for i, t in pairs:
+        row = (i, len(t or "") + 16, zlib.crc32((t or "").encode()))
+        rows.append((*row, seen[row]))
+        seen[row] += 1
+    tie = {r: spark_hash(r[0], r[2], r[1], r[3]) for r in rows}
+    n_blocks = min(64, len(rows) // 100)
+    blocks = [[] for _ in range(n_blocks)]
+    for r in rows:
+        blocks[spark_hash((seed,), tie[r]) % n_blocks].append(r)
+    sizes = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    matrix = sharding.communication_matrix([len(b) for b in blocks], sizes, seed)
+    shards = [[] for _ in range(n_shards)]
+    for held, counts in zip(blocks, matrix, strict=True):
+        held.sort(key=lambda r: spark_hash((seed + 1,), tie[r]))
+        at = 0
+        for s, n in enumerate(counts):
+            shards[s] += held[at : at + n]
+            at += n
+    want = Counter()
+    for s, held in enumerate(shards):
+        held.sort(key=lambda r: spark_hash((seed + 2,), tie[r]))
+        want.update((r[0], r[1], r[2], s, slot) for slot, r in enumerate(held))
+    got = sharding.shard(documents(spark, pairs), n_shards, seed=seed).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
+def test_many_equal_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "EQUAL_ROWS", 7)
+    df = documents(spark, [(1, "x")] * 50 + [(2, "y")] * 7 + [(3, "z")])
+    got = sharding.numbered(df.select("doc_id", "text")).collect()
+    assert Counter(map(tuple, got)) == Counter({(1, "x", i): 1 for i in range(50)} | {(2, "y", i): 1 for i in range(7)} | {(3, "z", 0): 1})
+    assert Counter(r.shard for r in sharding.shard(df, 4).collect()) == {0: 15, 1: 15, 2: 14, 3: 14}
+
+
 def test_shuffle_is_uniform(spark):
     """Every row is about as often in every shard, and at every slot."""
     df = documents(spark, [(i, "") for i in range(12)])

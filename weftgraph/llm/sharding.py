@@ -1,48 +1,54 @@
 """Operator 4, sharding: a uniform shuffle with exact shard sizes from a hypergeometric communication matrix.
 
-Rows are grouped into blocks; how many of each block's rows go to each shard is drawn exactly (multivariate
-hypergeometric: the law of a uniform permutation). Each block is permuted locally and cut by its row of the matrix,
-rows are exchanged, and each shard is permuted again. Only DataFrame functions touch rows; the driver draws counts.
+Rows are grouped into blocks; how many of each block's rows go to each shard is drawn (multivariate hypergeometric: the law
+of a uniform permutation). Each block is permuted locally and cut by its row of the matrix, rows are exchanged, and each
+shard is permuted again. Only DataFrame functions touch rows; the driver draws counts.
 
-Cases: a null text counts as empty; null ids are hashed like any value; rows repeated with one id keep their own
-slots; an empty table gives an empty table; other columns are not read.
+Cases: a null text counts as empty; null ids are hashed like any value; equal rows are numbered, so that each has a place of
+its own and any number of them is spread over blocks; only the length and the checksum of a very long text are exchanged; an
+empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, whose local permutation is one task's sort.
 BLOCK_ROWS = 1_000_000
 MOST_BLOCKS = 4096
+#: Equal rows that one task numbers.
+EQUAL_ROWS = 100_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of ``draws`` without replacement are good: exact inversion, outwards from the mode."""
+    """How many of ``draws`` without replacement are good, by inversion.
+
+    The law's weights are products of exact ratios from the mode outwards, in steps until they fall below 1e-18 of the
+    mode's, and are normalised by their own sum: rounding is all that keeps it from being exact, some 1e-12 at most.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
     mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    u = rng.random() - p
-    down, up, k, j = p, p, mode, mode
-    while u > 0 and (k > low or j < high):
-        if j < high:
-            up *= (good - j) * (draws - j) / ((j + 1) * (bad - draws + j + 1))
-            j += 1
-            u -= up
-        if u > 0 and k > low:
-            down *= k * (bad - draws + k) / ((good - k + 1) * (draws - k + 1))
-            k -= 1
-            u -= down
-            if u <= 0:
-                return k
-    return j if j > mode else mode
+    up = _weights(high - mode, lambda k: (good - mode - k) / (mode + k + 1) * ((draws - mode - k) / (bad - draws + mode + k + 1)))
+    down = _weights(mode - low, lambda k: (mode - k) / (good - mode + k + 1) * ((bad - draws + mode - k) / (draws - mode + k + 1)))
+    mass = np.cumsum(np.concatenate([down[::-1], [1.0], up]))
+    at = int(np.searchsorted(mass, rng.random() * mass[-1], "right"))
+    return mode - len(down) + min(at, len(mass) - 1)
+
+
+def _weights(steps: int, ratio) -> np.ndarray:
+    """Products of ratio(0), ratio(0) * ratio(1) and so on, up to ``steps`` of them or until they no longer count."""
+    parts, last, at = [], 1.0, 0
+    while at < steps and last > 1e-18:
+        k = np.arange(at, min(steps, at + 4096), dtype=np.float64)
+        parts.append(last * np.cumprod(ratio(k)))
+        last, at = float(parts[-1][-1]), at + len(k)
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> list[list[int]]:
@@ -60,10 +66,23 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> lis
     return matrix
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Every row with a ``copy``, from 0 among equal rows: they are counted, with partial counts, and made again from the count.
+
+    Counts beyond EQUAL_ROWS are first cut into parts, which are dealt out.
+    """
+    counts = rows.groupBy(*rows.columns).count()
+    few = counts.where(F.col("count") <= EQUAL_ROWS).withColumn("from", F.lit(0).cast("long"))
+    many = counts.where(F.col("count") > EQUAL_ROWS).withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(EQUAL_ROWS).cast("long"))))
+    many = many.repartition("from", *rows.columns).select(*few.columns)
+    last = F.least(F.col("from") + EQUAL_ROWS, "count") - 1
+    return few.union(many).select(*rows.columns, F.explode(F.sequence("from", last)).alias("copy"))
+
+
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    Row keys are hashes of the row itself, so a recomputed task makes the same draw.
+    Row keys are hashes of the row itself and its number among equal ones, so a recomputed task makes the same draw.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
@@ -71,8 +90,9 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int =
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    tie = F.xxhash64("doc_id", "text_crc32", "size")
     n = docs.count()
+    rows = numbered(rows)
+    tie = F.xxhash64("doc_id", "text_crc32", "size", "copy")
     n_blocks = max(1, min(MOST_BLOCKS, max(-(-n // block_rows), min(64, n // 100))))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), tie), F.lit(n_blocks)).cast("int"))
     held = dict(rows.groupBy("block").count().collect())
@@ -86,7 +106,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int =
             cut.append(total)
         ends.append(cut)
     cuts = F.from_json(F.lit(str(ends)), "array<array<bigint>>")
-    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), tie), "doc_id", "text_crc32", "size")
+    local = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), tie), "doc_id", "text_crc32", "size", "copy")
     placed = rows.withColumn("at", F.row_number().over(local).cast("long"))
     # "at" numbers a block's rows from 1; as many cuts as lie below it are shards already full.
     placed = placed.withColumn("shard", F.size(F.filter(cuts[F.col("block")], lambda end: end < F.col("at"))).cast("int"))
@@ -96,7 +116,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 17, block_rows: int =
     placed = placed.withColumn("key", key).withColumn("piece", F.floor(F.shiftrightunsigned("key", 33).cast("double") * pieces / 2**31).cast("int"))
     counts = placed.groupBy("shard", "piece").count().withColumn("start", F.sum("count").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)))
     starts = F.broadcast(counts.select("shard", "piece", F.coalesce("start", F.lit(0)).alias("start")))  # n_shards * pieces rows at most
-    inner = Window.partitionBy("shard", "piece").orderBy("key", "doc_id", "text_crc32", "size")
+    inner = Window.partitionBy("shard", "piece").orderBy("key", "doc_id", "text_crc32", "size", "copy")
     return placed.join(starts, ["shard", "piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("start") + F.row_number().over(inner) - 1).cast("long").alias("slot"),
