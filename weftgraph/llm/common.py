@@ -146,3 +146,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
                 yield fn(batch.slice(at, SLICE_ROWS))
 
     return small_batches(df).toDF(*slots).mapInArrow(run, schema).toDF(*df.columns)
+
+
+def in_slots(df: DataFrame) -> DataFrame:
+    """The same rows under column names that clash with none of an operator's own; toDF(*names) gives them back theirs."""
+    return df.toDF(*[f"_slot{i}" for i in range(len(df.columns))])
+
+
+def slot(df: DataFrame, name: str) -> str:
+    return f"_slot{df.columns.index(name)}"

@@ -6,11 +6,13 @@ summed) match the targets. One distributed sum of a vector as long as the domain
 
 Cases: a null text has no tokens, a posterior of the priors, and rate 1 (it moves no total); a label row without a
 document, or with null labels, is not learned from; without usable labels all documents are in one domain and keep rate 1;
-repeated rows get equal rates; an empty table gives an empty table; other columns are passed by.
+repeated rows get equal rates; of texts that share a labelled id one is learned from; an empty table gives an empty table; a very
+long text counts whole; other columns, of any names, are passed by.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -20,14 +22,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import map_rows, materialize
+from weftgraph.llm.common import discard, in_slots, map_rows, materialize, slot
+
+log = logging.getLogger(__name__)
 
 DOMAINS = ("high", "low", "toxic")
 
 
 @dataclass(frozen=True)
 class MixingParameters:
-    """sample bounds the labelled documents that the classifier is fitted on; weights are target token shares."""
+    """sample bounds the labelled documents that the classifier is fitted on; weights are target token shares.
+
+    Rates are final when no total is further from its target than ``tolerance`` of all tokens, or when a step moves rates by
+    less than ``optimality`` of all tokens (targets that no nonnegative rates meet).
+    """
 
     weights: dict = field(default_factory=lambda: {"high": 0.9, "low": 0.1, "toxic": 0.0})
     sample: int = 4000
@@ -37,8 +45,8 @@ class MixingParameters:
     epochs: int = 200
     rate: float = 0.3
     ridge: float = 1e-4
-    most_iterations: int = 50
     tolerance: float = 1e-6
+    optimality: float = 5e-4
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic"):
@@ -156,8 +164,10 @@ def association(have: np.ndarray, size: np.ndarray) -> np.ndarray:
 def fit_domains(docs: DataFrame, labels: DataFrame, p: MixingParameters) -> DomainModel:
     """Train on at most ``sample`` labelled documents, those of least hashed id."""
     labelled = labels.select(F.col("doc_id").alias("id"), domain_of().alias("domain")).where("domain is not null and id is not null")
-    chosen = labelled.orderBy(F.xxhash64(F.lit(3), "id"), "id", "domain").limit(p.sample).dropDuplicates(["id"])
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "domain", "text")
+    chosen = labelled.groupBy("id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(p.sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    # Of rows that share an id, the text of least hash is learned from.
+    texts = texts.groupBy("id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
         def one(i, domain, text):
@@ -166,8 +176,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, p: MixingParameters) -> Doma
 
         return one
 
-    rows = map_rows(texts, make, "id long, domain string, terms binary, shape array<double>").orderBy("id", "domain").limit(2 * p.sample).collect()
-    return train([(r[1], np.frombuffer(r[2], np.uint32), r[3]) for r in rows], p)
+    rows = map_rows(texts, make, "id long, domain string, terms binary, shape array<double>").collect()
+    return train([(r[1], np.frombuffer(r[2], np.uint32), r[3]) for r in sorted(rows, key=lambda r: r[0])], p)
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
@@ -213,25 +223,29 @@ def fit_rates(soft: DataFrame, domains: list[str], p: MixingParameters) -> tuple
     inverse = np.linalg.pinv(m / scale + 1e-9 * np.eye(k)) / scale
     steps: list[np.ndarray] = []
     soft = soft.withColumn("rate", F.lit(1.0))
+    tables: list[DataFrame] = []
+
+    def step(rate: Column, e: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((place[i] * float(e[i]) for i in range(1, k)), place[0] * float(e[0])))
 
     def stepped(df: DataFrame) -> DataFrame:
         out = F.col("rate")
         for e in steps:
-            out = F.greatest(F.lit(0.0), out - sum((place[i] * float(e[i]) for i in range(1, k)), place[0] * float(e[0])))
+            out = step(out, e)
         return df.withColumn("rate", out)
 
-    reached = have
-    for _ in range(p.most_iterations):
-        gap = reached - target
-        if np.abs(gap).max() <= p.tolerance * scale or not have.sum():
-            break
+    reached, moved, rounds = have, np.inf, 0
+    while np.abs(reached - target).max() > p.tolerance * scale and moved > p.optimality * scale and have.sum():
         if len(steps) == STEPS_A_TABLE:
             soft, steps = materialize(stepped(soft), "rates"), []
-        steps.append(inverse @ gap)
-        got = stepped(soft).agg(*[F.sum(F.col("rate") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(place)]).first()
-        before, reached = reached, np.array([x or 0.0 for x in got])
-        if np.abs(reached - before).max() <= p.tolerance * scale:
-            break
+            discard(*tables)
+            tables = [soft]
+        e = inverse @ (reached - target)
+        both = stepped(soft).withColumn("next", step(F.col("rate"), e))
+        got = both.agg(F.sum(F.col("tokens") * F.abs(F.col("next") - F.col("rate"))).alias("moved"), *[F.sum(F.col("next") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(place)]).first()
+        moved, reached, rounds = got[0] or 0.0, np.array([x or 0.0 for x in got[1:]]), rounds + 1
+        steps.append(e)
+    log.info("rates after %d steps; share of tokens off target by domain: %s", rounds, dict(zip(domains, ((reached - target) / scale).round(7).tolist(), strict=True)))
     return stepped(soft).withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.round("rate", 9))), reached, target
 
 
@@ -264,12 +278,14 @@ def mix(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParamete
 def apply(docs: DataFrame, labels: DataFrame, p: MixingParameters = MixingParameters(), broadcast_ids: int = 1_000_000) -> DataFrame:
     """Whole rows as many times as ``copies`` says.
 
-    Only ids with other than one copy are joined; up to ``broadcast_ids`` of them are broadcast, more are shuffled.
+    Only ids with other than one copy are joined; up to ``broadcast_ids`` of them are broadcast, more are shuffled. Rows
+    without an id stay once. Columns may have any names.
     """
-    changed = mix(docs, labels, p).where("copies != 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
+    changed = mix(docs, labels, p).where("copies != 1 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("_copies"))
     changed = materialize(changed, "copies")
     few = changed.limit(broadcast_ids + 1).count() <= broadcast_ids
-    both = docs.join(F.broadcast(changed) if few else changed, docs["doc_id"] == changed["mixed_id"], "left")
-    times = F.coalesce(changed["mixed_copies"], F.lit(1))
-    repeated = both.where(times > 0).withColumn("mixed_times", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    held = in_slots(docs)
+    both = held.join(F.broadcast(changed) if few else changed, F.col(slot(docs, "doc_id")) == F.col("_mixed"), "left")
+    times = F.coalesce("_copies", F.lit(1)).cast("int")
+    repeated = both.where(times > 0).withColumn("_time", F.explode(F.sequence(F.lit(1), times)))
+    return repeated.select(*held.columns).toDF(*docs.columns)

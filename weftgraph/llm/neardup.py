@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SLICE_ROWS, discard, emit, files_for, map_rows, materialize, small_batches
+from weftgraph.llm.common import SLICE_ROWS, discard, emit, files_for, in_slots, map_rows, materialize, slot, small_batches
 
 
 @dataclass(frozen=True)
@@ -302,3 +302,20 @@ def near_duplicates(docs: DataFrame, p: NearDupParameters = NearDupParameters())
     component = F.coalesce("component_id", "doc_id")
     out = some.select("doc_id", "n_shingles", "component_id").union(none)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, p: NearDupParameters = NearDupParameters()) -> DataFrame:
+    """Whole rows, one document of each group: that of the smallest id.
+
+    Rows without an id are documents by their text, after all with an id, so that no copy among them stays. Equal ids are one
+    document, whose rows share its verdict. Columns may have any names.
+    """
+    held = in_slots(docs)
+    doc_id, text = slot(docs, "doc_id"), slot(docs, "text")
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**62)))
+    held = held.withColumn("_key", key)
+    judged = near_duplicates(held.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), p)
+    gone = materialize(judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", docs.count())
+    few = gone.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids
+    kept = held.join(F.broadcast(gone) if few else gone, F.col("_key") == F.col("_gone"), "left_anti")
+    return kept.drop("_key").toDF(*docs.columns)
