@@ -1,16 +1,17 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
 
 Language ID, near-dedup, secret masking and mixing return the columns of documents; packing returns token pieces.
-A null ``docs`` text is rejected by language ID (no language); repeated rows share their document's verdict in each stage.
+Cases: a null text is rejected by language ID (no language), null ids are documents by their text; repeated rows share their
+document's verdict in each stage; an empty table gives an empty table at every stage; a very long text is worked on whole;
+further columns, of whatever names, are carried along up to packing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.llm import language, mixing, neardup, packing, secrets
-from weftgraph.llm.common import materialize
+from weftgraph.llm.common import discard, materialize
 
 #: A prediction of less posterior than this is no language that the corpus is to hold.
 LEAST_SCORE = 0.5
@@ -24,10 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id."""
-    p = neardup.NearDupParameters()
-    gone = materialize(neardup.near_duplicates(docs, p).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "gone", docs.count())
-    few = gone.limit(p.broadcast_ids + 1).count() <= p.broadcast_ids
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return neardup.keep_first(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +58,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = materialize(docs, name)
+            discard(before)
     return docs
