@@ -83,3 +83,61 @@ def test_files_round_trip(spark, people, tmp_path):
 def test_output_formats(spark, kind):
     text = files.render(spark.createDataFrame([(1, "<x>"), (2, None)], "k long, v string"), kind)
     assert "2" in text and ("&lt;x&gt;" in text if kind == "html" else "<x>" in text)
+
+
+def test_not_in_is_three_valued(people):
+    """No row when the side holds a null; none for a null operand unless the side is empty."""
+    def names(text):
+        return sorted(r.n for r in people.query(text).collect())
+
+    side = "IN { MATCH (b:Person) WHERE %s RETURN b.city }"
+    assert names("MATCH (a:Person) WHERE a.city NOT " + side % "b.age > 20" + " RETURN a.name AS n") == []
+    assert names("MATCH (a:Person) WHERE a.city NOT " + side % "b.age = 25" + " RETURN a.name AS n") == ["Alice", "Charlie"]
+    assert names("MATCH (a:Person) WHERE a.city NOT " + side % "b.age > 99" + " RETURN a.name AS n") == ["Alice", "Bob", "Charlie", "David"]
+    assert names("MATCH (a:Person) WHERE a.age = 28 OR a.city NOT " + side % "b.age = 25" + " RETURN a.name AS n") == ["Alice", "Charlie", "David"]
+
+
+def test_group_concat_uses_all_sort_keys(people):
+    row = people.query("MATCH (a:Person) RETURN group_concat(a.name, '-') WITHIN GROUP (ORDER BY a.city DESC, a.age) AS g").collect()
+    assert row[0].g == "Alice-Charlie-Bob-David"
+
+
+def test_long_chains_have_no_cap(spark):
+    from weftgraph.operators import paths
+
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(70)], "here long, there long, w double")
+    ends = lambda i: spark.createDataFrame([(i,)], "vid long")
+    (row,) = paths.shortest_paths(chain, ends(0), ends(70)).collect()
+    assert row.length == 70 and row.nodes == list(range(71))
+    assert paths.shortest_paths(chain, ends(0), ends(4), 3).count() == 0
+    assert paths.shortest_paths(chain, ends(70), ends(0)).count() == 0
+
+
+def test_shortest_paths_match_brute_force(spark):
+    import random
+    from collections import deque
+
+    from weftgraph.operators import paths
+
+    rng = random.Random(5)
+    pairs = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(60)})
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+    want = {}
+    for s in range(5):
+        best, queue = {s: [s]}, deque([s])
+        level = [s]
+        while level:
+            nxt = {}
+            for v in level:
+                for w in out.get(v, []):
+                    if w not in best:
+                        walk = best[v] + [w]
+                        nxt[w] = min(nxt.get(w, walk), walk)
+            best |= nxt
+            level = sorted(nxt)
+        want |= {(s, t): best[t] for t in range(10, 16) if t in best}
+    df = spark.createDataFrame(pairs, "here long, there long")
+    got = paths.shortest_paths(df, spark.createDataFrame([(i,) for i in range(5)], "v long"), spark.createDataFrame([(i,) for i in range(10, 16)], "v long"))
+    assert {(r.src, r.dst): r.nodes for r in got.collect()} == want

@@ -70,9 +70,19 @@ def group_concat(x: Column, sep: Column | None, distinct: bool, order: list[tupl
     """Values joined in the order asked for, else in their own order."""
     s = literal(sep) if sep is not None else ","
     if order:
-        key, ascending = order[0]
-        rows = F.sort_array(F.collect_list(F.struct(key.alias("k"), x.cast("string").alias("v"))), ascending)
-        return F.array_join(F.transform(rows, lambda r: r["v"]), s)
+        value = x.cast("string")
+        row = F.struct(*[k.alias(f"k{i}") for i, (k, _) in enumerate(order)], value.alias("v"))
+        rows = F.collect_set(row) if distinct else F.collect_list(row)
+
+        def before(p: Column, q: Column) -> Column:
+            """-1, 0 or 1 by the first key that differs; nulls are least, and values settle ties."""
+            out = F.when(p["v"].eqNullSafe(q["v"]), 0).when(p["v"].isNull() | (p["v"] < q["v"]), -1).otherwise(1)
+            for i, (_, ascending) in reversed(list(enumerate(order))):
+                a, b, sign = p[f"k{i}"], q[f"k{i}"], 1 if ascending else -1
+                out = F.when(a.eqNullSafe(b), out).when(a.isNull() | (b.isNotNull() & (a < b)), -sign).otherwise(sign)
+            return out
+
+        return F.array_join(F.transform(F.array_sort(rows, before), lambda r: r["v"]), s)
     values = F.collect_set(x) if distinct else F.collect_list(x)
     return F.array_join(F.transform(F.sort_array(values), lambda v: v.cast("string")), s)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,49 +11,88 @@ from pyspark.sql import functions as F
 from weftgraph.operators.traversal import directed
 from weftgraph.runtime import forget, is_empty, settle
 
-MOST_STEPS = 50
+#: Levels of a search that are read as files of their own before they are written together.
+LEVELS_A_TABLE = 8
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame, most: int = MOST_STEPS) -> DataFrame:
-    """(source, vid, distance) for every vertex within ``most`` steps of each source. ``edges`` is directed."""
+def rounds(most: int | None):
+    """1, 2 and so on: up to ``most``, or until the caller breaks off."""
+    return range(1, most + 1) if most is not None else count(1)
+
+
+def bfs_levels(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, vid, distance) for every vertex within ``most`` steps of each source (None: all that are reached). ``edges`` is directed."""
     pairs = edges.select("here", "there").distinct()
     seen = settle(sources.select(F.col(sources.columns[0]).alias("source"), F.col(sources.columns[0]).alias("vid"), F.lit(0).alias("distance")).distinct(), "seen")
     edge = seen
-    for step in range(1, most + 1):
+    for step in rounds(most):
         hop = edge.join(pairs, F.col("vid") == F.col("here")).select("source", F.col("there").alias("vid")).distinct()
         new = settle(hop.join(seen.select("source", "vid"), ["source", "vid"], "left_anti").withColumn("distance", F.lit(step)), "level")
         if is_empty(new):
             break
         seen, edge = seen.unionByName(new), new
+        if step % LEVELS_A_TABLE == 0:
+            seen = settle(seen, "seen")
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = MOST_STEPS) -> DataFrame:
-    """(src, dst, length, nodes): one shortest path a pair, that of least vertex sequence.
+class Side:
+    """One end of a search: the complete levels of vertices around each start, each vertex with its least walk."""
+
+    def __init__(self, starts: DataFrame, pairs: DataFrame, backward: bool):
+        first = F.col(starts.columns[0])
+        self.pairs, self.backward, self.depth = pairs, backward, 0
+        self.level = settle(starts.select(first.alias("start"), first.alias("vid"), F.array(first).alias("nodes")).distinct(), "paths")
+        self.seen = self.level.select("start", "vid")
+        self.rows = self.level.count()
+
+    def grow(self) -> None:
+        """The next level: of the walks that meet at a vertex the least survives."""
+        here, there = ("there", "here") if self.backward else ("here", "there")
+        nodes = F.concat(F.array(there), "nodes") if self.backward else F.array_append("nodes", F.col(there))
+        hop = self.level.join(self.pairs, F.col("vid") == F.col(here)).select("start", F.col(there).alias("vid"), nodes.alias("nodes"))
+        new = settle(hop.join(self.seen, ["start", "vid"], "left_anti").groupBy("start", "vid").agg(F.min("nodes").alias("nodes")), "paths")
+        self.level, self.depth, self.rows = new, self.depth + 1, new.count()
+        self.seen = self.seen.unionByName(new.select("start", "vid"))
+        if self.depth % LEVELS_A_TABLE == 0:
+            self.seen = settle(self.seen, "seen")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst, length, nodes): one shortest path a pair, that of least vertex sequence; ``most`` bounds its length.
 
-    Frontiers hold the path walked so far; of the walks that meet at a vertex in the same step the least one survives, so a
-    frontier has one row a source and vertex.
+    Both ends search towards each other, the end with fewer vertices in its last level first. Levels are complete, so a pair of
+    distance f + b has all its shortest paths through vertices that are in the f-th level of one end and the b-th of the other.
+    The search ends when all pairs are found or one end has nothing left to reach.
     """
     pairs = edges.select("here", "there").distinct()
-    first = F.col(sources.columns[0])
-    start = sources.select(first.alias("source"), first.alias("vid"), F.array(first).alias("nodes")).distinct()
-    seen = settle(start, "paths")
-    edge = seen
-    for _ in range(most):
-        hop = edge.join(pairs, F.col("vid") == F.col("here")).select("source", F.col("there").alias("vid"), F.array_append("nodes", F.col("there")).alias("nodes"))
-        new = hop.join(seen.select("source", "vid"), ["source", "vid"], "left_anti").groupBy("source", "vid").agg(F.min("nodes").alias("nodes"))
-        new = settle(new, "paths")
-        if is_empty(new):
+    ends = Side(sources, pairs, False), Side(targets, pairs, True)
+    wanted, found, n_found = ends[0].rows * ends[1].rows, [], 0
+    while True:
+        f, b = (x.level.select(F.col("start").alias(n), "vid", F.col("nodes").alias(f"{n}_nodes")) for x, n in zip(ends, ("src", "dst"), strict=True))
+        both = f.join(b, "vid").select("src", "dst", F.concat("src_nodes", F.slice("dst_nodes", F.lit(2), F.size("dst_nodes"))).alias("nodes"))
+        for old in found:
+            both = both.join(old.select("src", "dst"), ["src", "dst"], "left_anti")
+        new = settle(both.groupBy("src", "dst").agg(F.min("nodes").alias("nodes")), "found")
+        n = new.count()
+        n_found += n
+        if n or not found:
+            found.append(new)
+        if len(found) > LEVELS_A_TABLE:
+            found = [settle(reduce(DataFrame.unionByName, found), "found")]
+        depth = ends[0].depth + ends[1].depth
+        if n_found == wanted or not (ends[0].rows and ends[1].rows) or depth == most:
             break
-        seen, edge = seen.unionByName(new), new
-    wanted = targets.select(F.col(targets.columns[0]).alias("vid")).distinct()
-    return seen.join(wanted, "vid").select(F.col("source").alias("src"), F.col("vid").alias("dst"), (F.size("nodes") - 1).alias("length"), "nodes")
+        min(ends, key=lambda x: x.rows).grow()
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("src", "dst", (F.size("nodes") - 1).alias("length"), "nodes")
 
 
-def weighted_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: Column, most: int = MOST_STEPS) -> DataFrame:
+def weighted_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, weight: Column, most: int | None = None) -> DataFrame:
     """(src, dst, cost, nodes): a path of least cost a pair, that of least vertex sequence on ties.
 
-    Relaxation in rounds until nothing improves; a missing weight counts as 1 and a negative one is an error.
+    Relaxation in rounds until nothing improves, or over paths of up to ``most`` edges; only walks that may still improve on the
+    dearest wanted target go on. A missing weight counts as 1 and a negative one is an error.
     """
     w = F.coalesce(weight.cast("double"), F.lit(1.0))
     w = F.when(w < 0, F.raise_error(F.lit("negative weight")).cast("double")).otherwise(w)
@@ -60,7 +100,12 @@ def weighted_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, wei
     first = F.col(sources.columns[0])
     best = settle(sources.select(first.alias("source"), first.alias("vid"), F.lit(0.0).alias("cost"), F.array(first).alias("nodes")).distinct(), "best")
     edge = best
-    for _ in range(most):
+    wanted = settle(targets.select(F.col(targets.columns[0]).alias("vid")).distinct(), "targets")
+    n_wanted = wanted.count()
+    for _ in rounds(most):
+        # Weights aren't negative: a walk dearer than all of its source's targets, once all are reached, is of no use.
+        reached = best.join(F.broadcast(wanted) if n_wanted < 10_000 else wanted, "vid").groupBy(F.col("source").alias("s")).agg(F.max("cost").alias("most"), F.count("*").alias("n")).where(F.col("n") == n_wanted)
+        edge = edge.join(reached, F.col("source") == F.col("s"), "left").where(F.col("most").isNull() | (F.col("cost") <= F.col("most"))).drop("s", "most", "n")
         hop = edge.join(light, F.col("vid") == F.col("here")).select("source", F.col("there").alias("vid"), (F.col("cost") + F.col("w")).alias("cost"), F.array_append("nodes", F.col("there")).alias("nodes"))
         least = hop.groupBy("source", "vid").agg(F.min(F.struct("cost", "nodes")).alias("n"))
         old = best.select("source", "vid", F.struct("cost", "nodes").alias("o"))
@@ -72,7 +117,6 @@ def weighted_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, wei
         if is_empty(improved):
             break
         edge = improved.select("source", "vid", "b.cost", "b.nodes")
-    wanted = targets.select(F.col(targets.columns[0]).alias("vid")).distinct()
     return best.join(wanted, "vid").select(F.col("source").alias("src"), F.col("vid").alias("dst"), "cost", "nodes")
 
 

@@ -17,8 +17,6 @@ from weftgraph.operators.traversal import directed
 from weftgraph.plans.expressions import Compiler, Element, PathValue, Scope, quoted, walk
 from weftgraph.runtime import is_empty, settle
 
-#: Length of ``*`` without an upper bound, after which a walk ends even if it could go on.
-MOST_HOPS = 30
 _fresh = count()
 
 
@@ -111,11 +109,27 @@ class Matcher:
         inner, tie = self.correlated(scope, e.pattern, e.where)
         return replace(scope, df=scope.df.join(inner.df, tie, "left_anti" if anti else "left_semi"))
 
-    def in_query(self, scope: Scope, e: A.InQuery, anti: bool) -> Scope:
+    def member(self, scope: Scope, df: DataFrame, e: A.InQuery) -> tuple[DataFrame, str]:
+        """``df`` with a column that holds the three-valued answer of IN: null if the operand or, without a match, some row of the side is null."""
         side = self.run_query(e.query)
-        name = f"_q{next(_fresh)}"
-        side = side.select(F.col(side.columns[0]).alias(name))
-        return replace(scope, df=scope.df.join(side, Compiler(scope, self.params)(e.arg) == F.col(name), "left_anti" if anti else "left_semi"))
+        name, flag, facts = f"_q{next(_fresh)}", f"_f{next(_fresh)}", f"_n{next(_fresh)}"
+        side = side.select(F.col(side.columns[0]).alias(name)).distinct()
+        # One row: whether the side has rows, and nulls among them.
+        told = side.agg((F.count("*") > 0).alias(f"{facts}_some"), F.coalesce(F.bool_or(F.col(name).isNull()), F.lit(False)).alias(f"{facts}_null"))
+        arg = f"{name}_arg"
+        df = df.withColumn(arg, Compiler(replace(scope, df=df), self.params)(e.arg)).join(side.where(F.col(name).isNotNull()), F.col(arg) == F.col(name), "left").crossJoin(F.broadcast(told))
+        unknown = F.col(f"{facts}_some") & (F.col(arg).isNull() | F.col(f"{facts}_null"))
+        answer = F.when(F.col(name).isNotNull(), True).when(unknown, F.lit(None).cast("boolean")).otherwise(False)
+        return df.withColumn(flag, ~answer if e.negated else answer).drop(name, arg, f"{facts}_some", f"{facts}_null"), flag
+
+    def in_query(self, scope: Scope, e: A.InQuery, anti: bool) -> Scope:
+        if not anti:
+            side = self.run_query(e.query)
+            name = f"_q{next(_fresh)}"
+            side = side.select(F.col(side.columns[0]).alias(name))
+            return replace(scope, df=scope.df.join(side, Compiler(scope, self.params)(e.arg) == F.col(name), "left_semi"))
+        df, flag = self.member(scope, scope.df, replace(e, negated=True))
+        return replace(scope, df=df.where(F.col(flag)).drop(flag))
 
     def nested(self, scope: Scope, e: A.Expr) -> Scope:
         """Subqueries below OR or NOT: each becomes a flag column through a left join on its distinct keys."""
@@ -130,10 +144,7 @@ class Matcher:
                 df = df.join(hit, on, "left").select(*[quoted(c) for c in df.columns], F.coalesce(flag, F.lit(False)).alias(flag))
                 replaced[repr(x)] = flag
             elif isinstance(x, A.InQuery):
-                side = self.run_query(x.query)
-                name, flag = f"_q{next(_fresh)}", f"_f{next(_fresh)}"
-                side = side.select(F.col(side.columns[0]).alias(name)).distinct()
-                df = df.join(side, Compiler(scope, self.params)(x.arg) == F.col(name), "left").withColumn(flag, F.col(name).isNull() if x.negated else F.col(name).isNotNull()).drop(name)
+                df, flag = self.member(scope, df, x)
                 replaced[repr(x)] = flag
         return replace(scope, df=df.where(Compiler(replace(scope, df=df), self.params, replaced)(e)))
 
@@ -331,7 +342,7 @@ class Matcher:
         now = now.select("start", F.col("start").alias("at"), "at_tag", F.array("start").alias("nodes"), F.array().cast(kind).alias("edges"))
         same_tag = F.col("at_tag").isNull() | F.col("here_tag").isNull() | (F.col("at_tag") == F.col("here_tag"))
         found = [now] if low == 0 else []
-        for n in range(1, (MOST_HOPS if high is None else high) + 1):
+        for n in count(1) if high is None else range(1, high + 1):  # edges don't repeat, so walks end
             grown = now.join(hops, (F.col("at") == F.col("here")) & same_tag & ~F.array_contains("edges", F.col("e")))
             now = grown.select("start", F.col("there").alias("at"), F.col("there_tag").alias("at_tag"), F.array_append("nodes", F.col("there")).alias("nodes"), F.array_append("edges", F.col("e")).alias("edges"))
             if high is None or n % 3 == 0:

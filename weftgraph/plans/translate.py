@@ -394,9 +394,9 @@ class Translator:
             out = out.withColumn("path", F.struct("nodes", "edges"))
         elif s.weight:
             weight = F.col("rank") if s.weight.lower() in ("ranking", "rank") else quoted(s.weight) if s.weight in table.columns else F.lit(None)
-            out = paths.weighted_paths(seen, sources, targets, weight, s.upto or paths.MOST_STEPS).withColumn("path", F.struct("nodes"))
+            out = paths.weighted_paths(seen, sources, targets, weight, s.upto).withColumn("path", F.struct("nodes"))
         else:
-            out = paths.shortest_paths(seen, sources, targets, s.upto or paths.MOST_STEPS).withColumn("path", F.struct("nodes"))
+            out = paths.shortest_paths(seen, sources, targets, s.upto).withColumn("path", F.struct("nodes"))
         out = out.where("src != dst") if s.shortest else out
         if s.result:
             return self.project(plain(out), s.result)
@@ -466,17 +466,20 @@ class Translator:
         return df.drop(index.fields[0])
 
     # -- recursion
-    def recursive(self, start: DataFrame, step: Any, most: int = 50) -> DataFrame:
-        """Rows of ``start`` and of ``step`` applied to the newest rows until none are new."""
+    def recursive(self, start: DataFrame, step: Any, most: int | None = None) -> DataFrame:
+        """Rows of ``start`` and of ``step`` applied to the newest rows until none are new; more than ``most`` rounds are an error."""
         seen = settle(start.distinct(), "recursion")
         new = seen
-        for _ in range(most):
+        for n in paths.rounds(None):
             grown = step(new).toDF(*seen.columns).distinct()
             new = settle(relational.join(grown, seen, [(c, c) for c in seen.columns], "left_anti", null_safe=True), "recursion")
             if new.limit(1).count() == 0:
-                break
+                return seen
+            if n == most:
+                raise QueryError(f"the recursion goes on after {most} rounds")
             seen = seen.union(new)
-        return seen
+            if n % paths.LEVELS_A_TABLE == 0:
+                seen = settle(seen, "recursion")
 
     # -- data changes as statements
     def __getattr__(self, name: str):
