@@ -28,10 +28,10 @@ QUERIES = {
     "window": "MATCH (c:customer) RETURN c.c_custkey AS k, rank() OVER (PARTITION BY c.c_nationkey ORDER BY c.c_acctbal DESC) AS r",
     "exists": "MATCH (c:customer) WHERE NOT EXISTS {MATCH (c)-[:PLACED]->(o:orders) WHERE o.o_totalprice > 300000} RETURN count(*) AS n",
     "top_n": "MATCH (o:orders) RETURN o.o_orderkey AS k, o.o_totalprice AS t ORDER BY t DESC, k LIMIT 10",
-    "search_term": "SEARCH ON doc_text('erin') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
-    "search_phrase": "SEARCH ON doc_text('\"of the\"') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
-    "search_wildcard": "SEARCH ON doc_text('s?or*th') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
-    "search_boolean": "SEARCH ON doc_text('erin AND the NOT und') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
+    "search_term": "SEARCH ON postings('erin') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
+    "search_phrase": "SEARCH ON postings('\"of the\"') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
+    "search_wildcard": "SEARCH ON postings('s?or*th') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
+    "search_boolean": "SEARCH ON postings('erin AND the NOT und') YIELD doc_id AS k, score() AS s ORDER BY score() DESC, doc_id LIMIT 1000",
     "vector_10": "VECTOR SEARCH ON vec($q) LIMIT 10 YIELD vec_id AS k, score() AS s",
     "vector_100": "VECTOR SEARCH ON vec($q) LIMIT 100 YIELD vec_id AS k, score() AS s",
     "shortest_path": "FIND SHORTEST PATH FROM 1 TO 63 OVER KNOWS UPTO 12 STEPS YIELD length AS n",
@@ -48,6 +48,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     g = graph(spark, sf)
+    began = time.perf_counter()
+    g.query("CREATE FULLTEXT INDEX postings ON documents(text)")
+    print("search_index_build", round(time.perf_counter() - began, 3), file=sys.stderr, flush=True)
     runs = {name: (lambda text=text: g.query(text, q=VECTOR)) for name, text in QUERIES.items()}
     knows = lambda: traversal.edge_table(g, ["KNOWS"])
     runs["components"] = lambda: algorithms.connected_components(knows())

@@ -104,6 +104,8 @@ class GraphSpace:
         self.edges: dict[str, EdgeType] = {}
         self.indexes: dict[str, Index] = {}
         self.saved: list[tuple[str | None, tuple]] = []
+        #: Full-text indexes that have been built, each with the table that it was built of.
+        self.postings: dict[str, tuple[DataFrame, Any]] = {}
 
     # -- definition
     def add_tag(self, name: str, df: DataFrame, vid: str, schema: Schema = Schema()) -> GraphSpace:
@@ -142,6 +144,21 @@ class GraphSpace:
     def swap_edge(self, name: str, df: DataFrame) -> None:
         self.edges[name] = replace(self.edges[name], df=df)
 
+    # -- full-text indexes as data
+    def build_text_index(self, name: str) -> None:
+        """Write the postings of a full-text index on a tag; one on an edge type, or of rows that expire, is searched by scans."""
+        from weftgraph.operators.textindex import TextIndex
+
+        index = self.indexes[name]
+        tag = self.tags.get(index.on)
+        if tag and not tag.schema.ttl_column:
+            self.postings[name] = tag.df, TextIndex(tag.df, list(index.fields))
+
+    def text_index(self, index: Index) -> Any:
+        """The postings of an index, if they were built of its tag's present rows; REBUILD INDEX builds them anew."""
+        table, made = self.postings.get(index.name, (None, None))
+        return made if made and index.on in self.tags and self.tags[index.on].df is table else None
+
     # -- transactions: states are references to immutable tables
     def state(self) -> tuple:
         return dict(self.tags), dict(self.edges), dict(self.indexes)

@@ -1,7 +1,8 @@
 """Full-text and vector search.
 
-A query's terms are known when it is planned, so scoring needs no inverted index: term counts are folds over each text's
-tokens, document frequencies and the mean length are one aggregate, and the best rows are a top-k.
+A query's terms are known when it is planned, so scoring doesn't depend on an inverted index: without one, term counts are
+folds over each text's tokens and document frequencies one aggregate. Where CREATE FULLTEXT INDEX has made one (see textindex),
+counts come from the postings of the query's terms.
 """
 
 from __future__ import annotations
@@ -104,6 +105,10 @@ def leaves(n: Node) -> list[Node]:
     return [x for c in (*n.must, *n.should) for x in leaves(c)] if n.kind == "bool" else [n]
 
 
+def words_of(phrase: str) -> list[str]:
+    return [w for w in re.split(r"[^\w]+", phrase.lower()) if w]
+
+
 def like(pattern: str) -> str:
     return "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
 
@@ -122,7 +127,7 @@ class Searcher:
         """How often a leaf occurs in the tokens of a column."""
         t = F.col(f"__t_{column}")
         if n.kind == "phrase":
-            words = [w for w in re.split(r"[^\w]+", n.text.lower()) if w]
+            words = words_of(n.text)
             # Shifted copies side by side: a lambda that reached for the token array itself would compute it anew at each position.
             shifted = F.arrays_zip(*[F.slice(t, F.lit(i + 1), F.size(t)).alias(f"w{i}") for i in range(len(words))])
 
@@ -165,28 +170,38 @@ class Searcher:
     def every(self, n: Node) -> list[Node]:
         return [x for c in (*n.must, *n.should, *n.must_not) for x in self.every(c)] if n.kind == "bool" else [n]
 
-    def run(self) -> DataFrame:
-        """Matching rows with ``__score`` (BM25 over all leaves that may match) and ``__fields`` (columns with a hit)."""
-        all_leaves = [n for n in self.every(self.query) if n.kind != "range"]
+    def plan(self) -> tuple[list[Node], list[Node], dict[int, str], list[str]]:
+        """All leaves with terms, those that count for the score, the names of their counts, and the columns they look at."""
+        every = [n for n in self.every(self.query) if n.kind != "range"]
         scored = [n for n in leaves(self.query) if n.kind != "range"]
-        names = {id(n): f"__n{i}" for i, n in enumerate(all_leaves)}
-        used = sorted({c for n in all_leaves for c in self.targets(n)}) or self.columns
+        used = sorted({c for n in every for c in self.targets(n)}) or self.columns
+        return every, scored, {id(n): f"__n{i}" for i, n in enumerate(every)}, used
+
+    def run(self) -> DataFrame:
+        """Matching rows with ``__score`` (BM25 over all leaves that may match), ``__fields`` (columns with a hit) and the score of each column."""
+        all_leaves, scored, names, used = self.plan()
         df = self.df.withColumns({f"__t_{c}": tokens(F.col(c)) for c in used})
         # One projection computes the tokens, the next folds over them.
         df = df.withColumns({f"{names[id(n)]}_{c}": self.count(n, c) for n in all_leaves for c in self.targets(n)} | {f"__len_{c}": F.size(f"__t_{c}") for c in used})
         stats = [F.count(F.lit(1)).alias("n"), *[F.avg(f"__len_{c}").alias(f"a_{c}") for c in used]]
         stats += [F.count(F.when(F.col(f"{names[id(n)]}_{c}") > 0, 1)).alias(f"d{names[id(n)]}_{c}") for n in scored for c in self.targets(n)]
-        total = df.agg(*stats).first()
-        score = F.lit(0.0)
+        total = df.agg(*stats).first().asDict()
+        return self.scored(df, scored, names, used, {k: F.lit(v if not k.startswith("a_") else v or 1.0) for k, v in total.items()})
+
+    def scored(self, df: DataFrame, scored: list[Node], names: dict[int, str], used: list[str], total: dict[str, Column]) -> DataFrame:
+        """Matching rows and their scores, from counts and lengths by column and the totals over all rows."""
+        parts = {c: F.lit(0.0) for c in used}
         for n in scored:
             for c in self.targets(n):
                 tf, have = F.col(f"{names[id(n)]}_{c}").cast("double"), total[f"d{names[id(n)]}_{c}"]
-                idf = F.log1p(F.lit((total["n"] - have + 0.5) / (have + 0.5)))
-                norm = self.k1 * (1 - self.b + self.b * F.col(f"__len_{c}") / (total[f"a_{c}"] or 1.0))
-                score = score + idf * tf * (self.k1 + 1) / (tf + norm)
+                idf = F.log1p((total["n"] - have + 0.5) / (have + 0.5))
+                norm = self.k1 * (1 - self.b + self.b * F.col(f"__len_{c}") / total[f"a_{c}"])
+                parts[c] = parts[c] + idf * tf * (self.k1 + 1) / (tf + norm)
+        score = sum(parts.values(), F.lit(0.0))
         hits = [F.when(F.greatest(F.lit(0), *[F.col(f"{names[id(n)]}_{c}") for n in scored if c in self.targets(n)]) > 0, F.lit(c)) for c in used if any(c in self.targets(n) for n in scored)]
         fields = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-        return df.where(self.matches(self.query, names)).select(*self.df.columns, score.alias("__score"), fields.alias("__fields"))
+        by = F.create_map(*[x for c, v in parts.items() for x in (F.lit(c), v)])
+        return df.where(self.matches(self.query, names)).select(*self.df.columns, score.alias("__score"), fields.alias("__fields"), by.alias("__scores"))
 
     def terms(self) -> list[str]:
         out: list[str] = []

@@ -14,7 +14,7 @@ from weftgraph.functions.scalar import literal
 from weftgraph.lang import ast as A
 from weftgraph.lang.lexer import QueryError
 from weftgraph.model import GraphSpace
-from weftgraph.operators import paths, relational, search
+from weftgraph.operators import paths, relational, search, textindex
 from weftgraph.operators.traversal import directed, edge_table, edge_types, expand
 from weftgraph.plans.changes import Changes
 from weftgraph.plans.expressions import Compiler, Element, Scope, aggregates, default_name, plain, quoted, walk, windows
@@ -426,17 +426,20 @@ class Translator:
             raise QueryError(f"no full-text index {s.index}")
         table = self.space.tag(index.on).live() if index.on in self.space.tags else self.space.edge(index.on).live()
         options = index.options
-        run = search.Searcher(table, list(index.fields), s.query, float(options.get("k1", 1.2)), float(options.get("b", 0.75)))
+        weights = float(options.get("k1", 1.2)), float(options.get("b", 0.75))
+        made = self.space.text_index(index)
+        run = textindex.IndexSearcher(table, made, s.query, *weights) if made else search.Searcher(table, list(index.fields), s.query, *weights)
         df = run.run()
         scope = plain(df)
         column = lambda e: self.compiler(scope)(e)
+        named = lambda e: F.lit(e.name) if isinstance(e, (A.Var, A.Prop)) else column(e)
         score = {
             "score": lambda: F.col("__score"),
             "highlight": lambda e, *rest: run.highlight(column(e), *[literal(column(x)) for x in rest]),
             "snippet": lambda e, n=None: run.snippet(column(e), literal(column(n)) if n is not None else 200),
             "matched_fields": lambda: F.col("__fields"),
-            "field_score": lambda *_: F.col("__score"),
-            "search_match": lambda *_: F.lit(True),
+            "field_score": lambda e=None: F.col("__score") if e is None else F.coalesce(F.element_at("__scores", named(e)), F.lit(0.0)),
+            "search_match": lambda e=None: F.size("__fields") > 0 if e is None else F.array_contains("__fields", named(e)),
         }
         key = "vid" if "vid" in df.columns else "src"
         result = s.result or A.Projection([A.Item(A.Var(key), key, key), A.Item(A.Call("score", []), "score", "score()")])

@@ -226,7 +226,7 @@ class Session:
         e = self.space.edge(s.name)
         return self.declaration("EDGE", s.name, e.df, e.schema, ("src", "dst", "rank"))
 
-    # -- indexes are metadata: filters reach the files' own statistics
+    # -- indexes are metadata, as filters reach the files' own statistics; a full-text index is a table of postings too
     def indexed(self, s: A.Admin, kind: str) -> DataFrame:
         if s.name in self.space.indexes:
             if s.args["if_not_exists"]:
@@ -244,7 +244,11 @@ class Session:
         return self.indexed(s, "INDEX")
 
     def create_fulltext(self, s: A.Admin) -> DataFrame:
-        return self.indexed(s, "FULLTEXT")
+        new = s.name not in self.space.indexes
+        out = self.indexed(s, "FULLTEXT")
+        if new:
+            self.space.build_text_index(s.name)
+        return out
 
     def create_vector(self, s: A.Admin) -> DataFrame:
         return self.indexed(s, "VECTOR")
@@ -257,6 +261,8 @@ class Session:
     def rebuild_index(self, s: A.Admin) -> DataFrame:
         if s.name not in self.space.indexes:
             raise QueryError(f"no index {s.name}")
+        if self.space.indexes[s.name].kind == "FULLTEXT":
+            self.space.build_text_index(s.name)
         return self.ok()
 
     def listed(self, kinds: tuple[str, ...]) -> DataFrame:

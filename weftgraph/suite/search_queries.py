@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftgraph.suite.base import graph, query, text_query
+from weftgraph.suite.base import QUERIES, SQL, graph, query, text_query
 
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
@@ -34,6 +34,28 @@ text_query("search_top", "SEARCH ON doc_text('erin shor') YIELD doc_id AS k, rou
 text_query("search_snippet", "SEARCH ON doc_text('erin') YIELD doc_id AS k, length(snippet(text, 50)) <= 50 AS n, highlight(text) CONTAINS '<em>' AS h", f"SELECT doc_id AS k, true AS n, true AS h FROM documents WHERE list_contains({_TOK}, 'erin')")
 text_query("match_text_predicate", "MATCH (d:documents) WHERE d.text CONTAINS 'erin' RETURN d.lang AS l, count(*) AS n", "SELECT lang AS l, count(*) AS n FROM documents WHERE contains(text, 'erin') GROUP BY 1")
 
+
+
+def indexed_query(name: str, text: str, sql: str) -> None:
+    """A search over postings that CREATE FULLTEXT INDEX writes first."""
+
+    def run(spark, sf_dir):
+        g = graph(spark, sf_dir)
+        g.query("CREATE FULLTEXT INDEX postings ON documents(text)")
+        return g.query(text)
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+indexed_query("index_term", "SEARCH ON postings('their') YIELD doc_id AS k, round(score(), 6) AS s, round(field_score(text), 6) AS f, search_match(text) AS m", f"SELECT k, s, s AS f, true AS m FROM ({bm25([is_('their')], 'n1 > 0')})")
+indexed_query("index_boolean", "SEARCH ON postings('erin AND the NOT und') YIELD doc_id AS k, round(score(), 6) AS s", bm25([is_("erin"), is_("the")], "n1 > 0 AND n2 > 0 AND NOT list_contains(tok, 'und')"))
+indexed_query("index_prefix", "SEARCH ON postings('shorth*') YIELD doc_id AS k, round(score(), 6) AS s", bm25(["starts_with(x, 'shorth')"], "n1 > 0"))
+indexed_query("index_wildcard", "SEARCH ON postings('s?or*th') YIELD doc_id AS k, round(score(), 6) AS s", bm25(["regexp_full_match(x, 's.or.*th')"], "n1 > 0"))
+indexed_query("index_fuzzy", "SEARCH ON postings('erinn~1') YIELD doc_id AS k, round(score(), 6) AS s", bm25(["levenshtein(x, 'erinn') <= 1"], "n1 > 0"))
+indexed_query("index_phrase", "SEARCH ON postings('\"of the\"') YIELD doc_id AS k", f"SELECT doc_id AS k FROM documents WHERE contains(' ' || array_to_string({_TOK}, ' ') || ' ', ' of the ')")
+indexed_query("index_negative", "SEARCH ON postings('NOT und') YIELD doc_id AS k", f"SELECT doc_id AS k FROM documents WHERE NOT list_contains({_TOK}, 'und')")
+indexed_query("index_range", "SEARCH ON postings('erin AND n_chars:[100 TO 900]') YIELD doc_id AS k", f"SELECT doc_id AS k FROM documents WHERE list_contains({_TOK}, 'erin') AND n_chars BETWEEN 100 AND 900")
+
 _Q = [0.5 if i % 3 == 0 else -0.25 for i in range(64)]
 _V = "list_transform(embedding, lambda x: x::DOUBLE)"
 _L = str(_Q) + "::DOUBLE[]"
