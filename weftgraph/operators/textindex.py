@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from weftgraph.operators.search import Node, Searcher, like, tokens, words_of
 from weftgraph.runtime import settle
 
-#: Postings of a file of the index, about.
+#: Postings of a file of the index, about, and bytes of a row group, the unit that a query skips.
 FILE_ROWS = 5_000_000
+BLOCK_BYTES = 8 << 20
 
 
 class TextIndex:
@@ -27,7 +28,7 @@ class TextIndex:
         self.n = max((r.n for r in told), default=0)
         self.mean = {r.column: r.mean or 0.0 for r in told}
         files = max(1, -(-sum(r.all or 0 for r in told) // FILE_ROWS))
-        self.postings = settle(rows.repartitionByRange(files, "column", "term").sortWithinPartitions("column", "term", "vid"), "postings")
+        self.postings = settle(rows.repartitionByRange(files, "column", "term").sortWithinPartitions("column", "term", "vid"), "postings", {"parquet.block.size": str(BLOCK_BYTES)})
 
 
 class IndexSearcher(Searcher):

@@ -18,6 +18,8 @@ from weftgraph.operators import paths, relational, search, textindex
 from weftgraph.operators.traversal import directed, edge_table, edge_types, expand
 from weftgraph.plans.changes import Changes
 from weftgraph.plans.expressions import Compiler, Element, Scope, aggregates, default_name, plain, quoted, walk, windows
+from weftgraph.plans.graphcalls import NAMES as GRAPH_FUNCTIONS
+from weftgraph.plans.graphcalls import GraphCalls, has_calls
 from weftgraph.plans.patterns import Matcher
 from weftgraph.runtime import settle
 
@@ -136,6 +138,11 @@ class Translator:
             else:
                 items.append(i)
         names = unique([default_name(i) for i in items])
+        if has_calls([i.expr for i in items]) or has_calls([e for e, _ in p.order]) or has_calls(p.where) or has_calls(p.having) or has_calls(p.group):
+            items = [replace(i, alias=i.alias or n) for i, n in zip(items, names, strict=True)]
+            calls = GraphCalls(self.space, scope, self.compiler(scope))
+            items, p = self.swapped(items, calls), self.swapped(replace(p, items=None), calls)
+            scope = calls.scope
         aliases = {n: i.expr for n, i in zip(names, items, strict=True) if i.alias}
         if p.where is not None and aggregates(self.known_as(p.where, aliases, scope)):
             p = replace(p, where=None, having=p.where)
@@ -163,6 +170,17 @@ class Translator:
             df = df.orderBy(*[F.col(f"__o{k}").asc_nulls_first() if up else F.col(f"__o{k}").desc_nulls_last() for k, (_, up) in enumerate(order)])
         return self.cut(df, p.skip, p.limit).select(*final)
 
+    @classmethod
+    def swapped(cls, x: Any, calls: GraphCalls) -> Any:
+        """Anything of a syntax tree with its graph functions replaced by the columns that hold their values."""
+        if isinstance(x, (list, tuple)):
+            return type(x)(cls.swapped(y, calls) for y in x)
+        if not hasattr(x, "__dataclass_fields__") or isinstance(x, (A.Exists, A.InQuery)):
+            return x
+        if isinstance(x, A.Call) and x.name in GRAPH_FUNCTIONS and x.over is None:
+            return calls.call(x)
+        return replace(x, **{k: cls.swapped(getattr(x, k), calls) for k in x.__dataclass_fields__})
+
     @staticmethod
     def known_as(e: A.Expr, aliases: dict[str, A.Expr], scope: Scope) -> A.Expr:
         """An expression with output names that the scope lacks replaced by what they stand for."""

@@ -22,10 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def settle(df: DataFrame, label: str = "table") -> DataFrame:
+def settle(df: DataFrame, label: str = "table", options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as Parquet and read back: later plans start from files that every executor can read."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

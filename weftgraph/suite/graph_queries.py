@@ -154,3 +154,16 @@ text_query("schema_alter", "ALTER TAG region ADD (note: STRING DEFAULT 'x'); ALT
 text_query("schema_describe", "DESC TAG nation", "SELECT * FROM (VALUES ('n_nationkey', 'bigint', 'YES', NULL, NULL), ('n_name', 'string', 'YES', NULL, NULL), ('n_regionkey', 'int', 'YES', NULL, NULL)) t(field, type, nullable, \"default\", comment)")
 text_query("show_stats", "SHOW STATS", None)
 text_query("explain_plan", "EXPLAIN MATCH (c:customer)-[:PLACED]->(o:orders) RETURN count(*) AS n", None)
+
+
+# -- graph functions in query text
+text_query(
+    "graph_degree",
+    "MATCH (c:customer) RETURN c.c_custkey AS k, degree(c) AS d, size(neighbors(c)) AS n, size(out_edges(c)) AS o, size(in_edges(c)) AS i",
+    f"WITH k AS {KNOWS}, o AS (SELECT src AS v, count(*) AS o FROM k GROUP BY 1), i AS (SELECT dst AS v, count(*) AS i FROM k GROUP BY 1) SELECT c_custkey AS k, coalesce(o, 0) + coalesce(i, 0) AS d, coalesce(o, 0) + coalesce(i, 0) AS n, coalesce(o, 0) AS o, coalesce(i, 0) AS i FROM customer LEFT JOIN o ON o.v = c_custkey LEFT JOIN i ON i.v = c_custkey",
+)
+text_query(
+    "graph_bfs",
+    "MATCH (c:customer) WHERE c.c_custkey < 30 RETURN c.c_custkey AS k, size(bfs(c, 2)) AS n",
+    f"WITH k AS {KNOWS}, e AS (SELECT src AS a, dst AS b FROM k UNION SELECT dst, src FROM k), one AS (SELECT c_custkey AS c, c_custkey AS v FROM customer WHERE c_custkey < 30 UNION SELECT a, b FROM e WHERE a < 30), two AS (SELECT c, v FROM one UNION SELECT c, b FROM one JOIN e ON a = v) SELECT c AS k, count(*) AS n FROM two WHERE c IN (SELECT c_custkey FROM customer) GROUP BY 1",
+)
