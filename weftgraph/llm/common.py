@@ -15,7 +15,7 @@ from pyspark.sql.types import (
 SLICE_ROWS = 256
 
 #: Rows of an Arrow batch between the JVM and Python. Texts run to megabytes, and a batch is held whole, off heap, on both sides.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 from weftgraph.runtime import shared_folder

@@ -156,7 +156,7 @@ class Scorer(dict):
 
 UNKNOWN = ("und", 0.0)
 #: Words that a task remembers the scores of.
-MOST_HELD = 300_000
+MOST_HELD = 150_000
 
 
 def fit(train: DataFrame, p: LanguageParameters = LanguageParameters()) -> LanguageModel:
