@@ -33,6 +33,17 @@ def join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: st
     return left.join(other, condition(left, other, [(a, renamed[b]) for a, b in keys], null_safe), how)
 
 
+def count_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], null_safe: bool = False) -> DataFrame:
+    """One row ``n``: how many rows the inner join has. Each side's rows are counted by key first, so no pair of rows is made."""
+
+    def counted(df: DataFrame, side: int, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(pair[side]).alias(f"__k{i}") for i, pair in enumerate(keys)]).agg(F.count("*").alias(name))
+
+    names = [(f"__k{i}", f"__k{i}") for i in range(len(keys))]
+    both = join(counted(left, 0, "__left"), counted(right, 1, "__right"), names, null_safe=null_safe)
+    return both.agg(F.coalesce(F.sum(F.col("__left") * F.col("__right")), F.lit(0).cast("long")).alias("n"))
+
+
 def cross(*sides: DataFrame) -> DataFrame:
     """All combinations: what a comma between unconnected patterns asks for."""
     out = sides[0]

@@ -67,7 +67,7 @@ def join_multi_key(spark, sf_dir):
 @query("SELECT count(*) AS n FROM (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS k FROM customer) a JOIN (SELECT CASE WHEN s_nationkey = 3 THEN NULL ELSE s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_safe(spark, sf_dir):
     gap = lambda c: F.when(F.col(c) != 3, F.col(c)).alias("k")
-    return relational.join(table(spark, sf_dir, "customer").select(gap("c_nationkey")), table(spark, sf_dir, "supplier").select(gap("s_nationkey")), [("k", "k")], null_safe=True).agg(F.count("*").alias("n"))
+    return relational.count_join(table(spark, sf_dir, "customer").select(gap("c_nationkey")), table(spark, sf_dir, "supplier").select(gap("s_nationkey")), [("k", "k")], null_safe=True)
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
