@@ -1,7 +1,7 @@
 """Joins whose pairs or broadcasts would outgrow their input."""
 
 from tests.conftest import rows
-from weftgraph.operators import relational
+from weftgraph.operators import algorithms, relational
 
 
 def test_a_join_is_counted_without_its_pairs(spark):
@@ -22,3 +22,19 @@ def test_the_null_safe_query_makes_no_pairs(spark):
     plan = QUERIES["join_null_safe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     joined = plan.index("Join")
     assert plan.count("Aggregate", joined) == 2, plan
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    """Labels by vertex are as many as the vertices: a broadcast would send them through the driver each round."""
+    plans = []
+
+    def settle(df, label="table", *rest):
+        if label == "labels":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, *rest)
+
+    real = algorithms.settle
+    monkeypatch.setattr(algorithms, "settle", settle)
+    edges = spark.createDataFrame([(3, 2), (2, 1), (5, 4), (6, 6)], "src long, dst long")
+    assert rows(algorithms.connected_components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)

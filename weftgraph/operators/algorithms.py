@@ -15,17 +15,21 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """(vid, component): the least vid of the weakly connected component. Labels spread and jump to their label's label."""
+    """(vid, component): the least vid of the weakly connected component. Labels spread and jump to their label's label.
+
+    Each round joins tables as large as the graph. Their files are small for their rows, so a size test would send them to the
+    driver to broadcast them, once a round; they are merged instead.
+    """
     both = settle(undirected(edges), "undirected")
     ids = edges.select(F.col("src").alias("vid")).union(edges.select("dst"))
     if vertices is not None:
         ids = ids.union(vertices.select("vid"))
     labels = settle(ids.distinct().withColumn("component", F.col("vid")), "labels")
     while True:
-        near = both.join(labels, F.col("dst") == F.col("vid")).groupBy("src").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("vid") == F.col("src"), "left").select("vid", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        near = both.join(labels.hint("merge"), F.col("dst") == F.col("vid")).groupBy("src").agg(F.min("component").alias("near"))
+        step = labels.join(near.hint("merge"), F.col("vid") == F.col("src"), "left").select("vid", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         root = labels.select(F.col("vid").alias("component"), F.col("component").alias("root"))
-        new = settle(step.join(root, "component", "left").select("vid", "old", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
+        new = settle(step.join(root.hint("merge"), "component", "left").select("vid", "old", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
         forget(labels)
         labels = new
         if is_empty(new.where("component < old")):
